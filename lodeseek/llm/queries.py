@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import bpe_count, decontaminate, packing, simhash, token_files
+from lodeseek.llm import bpe_count, decontaminate, packing, simhash, token_files, toxicity
 
 
 #: Folder of the tokenizer files; None: where the public_tokenizers module keeps them.
@@ -45,11 +45,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
