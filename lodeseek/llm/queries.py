@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeseek.llm import bpe_count, decontaminate, packing, simhash, token_files, toxicity
+from lodeseek.llm import bpe_count, decontaminate, line_dedup, packing, simhash, token_files, toxicity
 
 
 #: Folder of the tokenizer files; None: where the public_tokenizers module keeps them.
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("row.text"), 256).alias("kept_sha256"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -51,6 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
