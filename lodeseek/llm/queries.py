@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import bpe_count, decontaminate, line_dedup, packing, simhash, token_files, topk, toxicity
+from lodeseek.llm import bpe_count, decontaminate, line_dedup, packing, secret_scan, simhash, token_files, topk, toxicity
 
 
 #: Folder of the tokenizer files; None: where the public_tokenizers module keeps them.
@@ -60,6 +60,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "name", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_topk": """
