@@ -53,9 +53,8 @@ def text_column(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("string"))
 
 
-def row_key() -> list:
-    """Columns that name a row by what it holds: rows that agree on doc_id and text are one document and get one result."""
-    return [F.col("doc_id"), F.xxhash64(F.col("text")).alias("text_key")]
+def shuffle_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def bits_set(x: np.ndarray) -> np.ndarray:

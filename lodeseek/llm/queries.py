@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import bpe_count, decontaminate, line_dedup, packing, secret_scan, simhash, token_files, topk, toxicity
+from lodeseek.llm import bpe_count, decontaminate, line_dedup, packing, secret_scan, simhash, substring_dedup, token_files, topk, toxicity
 
 
 #: Folder of the tokenizer files; None: where the public_tokenizers module keeps them.
@@ -43,6 +43,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
@@ -77,6 +83,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH d AS (
+            SELECT CAST(row_number() OVER () AS BIGINT) AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), sized AS (
+            SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0
+        ), items AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS v FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM sized)
+        ), windows AS (
+            SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS v FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k)
+        ), hits AS (
+            SELECT r, i, windows.k, item_id FROM windows JOIN items ON windows.v = items.v AND windows.k = items.k
+        ), n AS (
+            SELECT r, CAST(count(DISTINCT j) AS BIGINT) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY r
+        ), names AS (
+            SELECT r, CAST(count(*) AS BIGINT) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256 FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r
+        )
+        SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (r) LEFT JOIN names USING (r)""",
+    "op5_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+        ), late AS (
+            SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM windows) WHERE doc_id > low
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+        ), marked AS (
+            SELECT words.doc_id, j, word, max(late.i) OVER (PARTITION BY words.doc_id ORDER BY j) AS last FROM words LEFT JOIN late ON words.doc_id = late.doc_id AND j = late.i
+        ), kept AS (
+            SELECT doc_id, CAST(count(*) FILTER (coalesce(j - last < 50, FALSE)) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT coalesce(j - last < 50, FALSE)) AS kept
+            FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_exact_topk": """
         WITH v AS (
             SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import bits_set, group_bounds, per_batch, signed, text_column, texts, written
+from lodeseek.llm.common import bits_set, group_bounds, per_batch, shuffle_parts, signed, text_column, texts, written
 from lodeseek.llm.components import components
 
 SHINGLE = 3
@@ -222,7 +222,7 @@ def near_links(points: DataFrame, max_distance: int = MAX_DISTANCE, pieces: int
     found: list[DataFrame] = []
     for _ in range(64):
         routed = _route(todo, max_distance, pieces, levels).select("key", "mask", "fp")
-        dealt = routed.repartition(_parts(points), "key").sortWithinPartitions("key", "mask", "fp")
+        dealt = routed.repartition(shuffle_parts(points), "key").sortWithinPartitions("key", "mask", "fp")
         out = written(_search(dealt, max_distance, capacity), "links")
         found.append(out.where("a IS NOT NULL").select("a", "b"))
         todo = out.where("a IS NULL").select("key", "mask", F.col("b").alias("fp")).distinct()
@@ -235,10 +235,6 @@ def near_links(points: DataFrame, max_distance: int = MAX_DISTANCE, pieces: int
     return edges
 
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def near_dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle: int = SHINGLE, capacity: int = CAPACITY, pieces: int | None = None) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for every row of docs(doc_id, text, ...).
 

@@ -83,6 +83,13 @@ class WaveletMatrix:
             i = np.where(bit == 1, z + one, i - one)
         return value
 
+    def down(self, value: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Where each position is led on a value's way below the lowest plane; two such places differ by the value's count between them."""
+        for k, (p, z) in enumerate(zip(self.planes, self.zeros)):
+            one = p.rank1(i)
+            i = np.where(value >> self.width - 1 - k & 1, z + one, i - one)
+        return i
+
     def rank(self, value: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each value stands in [0, i)."""
         lo = np.zeros(len(i), np.int64)
