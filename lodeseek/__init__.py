@@ -1 +1 @@
-"""lodeseek: repository-evidence retrieval and corpus work as Spark jobs."""
+"""Evidence retrieval over source and text corpora on Spark: chunks, lexical and vector rankings, fusion, reranking, answers."""

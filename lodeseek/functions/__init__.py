@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Column functions: no Python runs on executors."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Operators over chunks, rankings and answers, as DataFrames in and out."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Whole plans over several operators: index snapshots and question answering."""

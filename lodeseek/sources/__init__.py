@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Where files, chunks and indexes come from and go to."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Incremental chunking of arriving files."""
