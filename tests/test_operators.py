@@ -190,6 +190,14 @@ def test_ranks_do_not_depend_on_partitions(spark):
     assert a == b and len(a) == 27
 
 
+def test_complete_rankings_of_one_query_in_many_parts(spark):
+    rows = spark.createDataFrame([(None if i % 9 == 0 else 1, i, float(i % 4)) for i in range(500)], "query_id long, chunk_id long, score double")
+    window = {q: sorted((-s, c) for a, c, s in rows.collect() if a == q) for q in (None, 1)}
+    got = sorted((r.query_id or 0, r["rank"], r.chunk_id) for r in ranked(rows.repartition(5), "score", "chunk_id").collect())
+    assert got == sorted((q or 0, n, c) for q, own in window.items() for n, (_, c) in enumerate(own, 1))
+    assert ranked(rows.limit(0), "score", "chunk_id").count() == 0
+
+
 @pytest.mark.parametrize("method", answering.METHODS)
 def test_answers(spark, chunks, index, method):
     vectors = vector.embed(chunks.select("chunk_id", F.col("content").alias("text")), vector.HashingEmbedder(16)).select("chunk_id", "embedding")
