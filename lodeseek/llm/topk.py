@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import written
+from lodeseek.llm.common import group_bounds, written
 
 K = 5
 SCALE = 256
@@ -49,7 +49,7 @@ def statistics(x: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The best k scores of each query of a block over the candidates that came by."""
+    """The best k scores, each of another vec_id, of each query of a block over the candidates that came by."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
@@ -89,7 +89,22 @@ class Search:
     def _slack(self, norm: np.ndarray) -> np.ndarray:
         return 1e-9 * (1 + norm + self.norm.max(initial=0))
 
+    def _merge(self, exact: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One column for each name, with its best score; names kept so far that come again move to their column."""
+        order = np.argsort(names, kind="stable")
+        starts = group_bounds(names[order])[:-1]
+        if len(starts) < len(names):
+            exact, names = np.maximum.reduceat(exact[:, order], starts, axis=1), names[order][starts]
+        else:
+            exact, names = exact[:, order], names[order]
+        at = np.minimum(np.searchsorted(names, self.name), len(names) - 1)
+        row, col = np.nonzero((names[at] == self.name) & np.isfinite(self.score))
+        exact[row, at[row, col]] = np.maximum(exact[row, at[row, col]], self.score[row, col])
+        self.score[row, col] = -np.inf
+        return exact, names
+
     def _keep(self, exact: np.ndarray, names: np.ndarray) -> None:
+        exact, names = self._merge(exact, names)
         score = np.concatenate((self.score, exact), axis=1)
         name = np.concatenate((self.name, np.broadcast_to(names, exact.shape)), axis=1)
         if score.shape[1] > self.k:

@@ -57,3 +57,28 @@ def test_few_and_none(spark):
     assert topk.top_k(frame(spark, []), F.col("vec_id") % 5 == 0).count() == 0
     rows = sample(3, 5, 4)
     assert sorted(tuple(x) for x in topk.top_k(frame(spark, rows), F.col("vec_id") % 5 == 0).collect()) == brute([(i, np.array(v, np.float32).tolist()) for i, v in rows])
+
+
+def test_ids_that_repeat_over_k_times_in_one_partition(spark):
+    rows = [(i, np.array(v, np.float32).tolist()) for i, v in sample(60, 16, 6)]
+    rows += [(401, rows[0][1])] * 30 + [(402, [2 * x for x in rows[5][1]])] * 12 + [(403, rows[k % 10][1]) for k in range(40)]
+    random.Random(3).shuffle(rows)
+    want = brute(rows)
+    assert all(sum(x[0] == q for x in want) == 5 for q in range(0, 60, 5))
+    for parts in (1, 4):
+        got = topk.top_k(frame(spark, rows).repartition(parts), F.col("vec_id") % 5 == 0)
+        assert sorted(tuple(x) for x in got.collect()) == want
+
+
+def test_ids_that_repeat_over_steps():
+    x = np.array([[float(k % 7), float(k % 5), 1.0, 2.0] for k in range(60)])
+    names = np.array([k % 9 if k % 3 else 100 for k in range(60)])
+    for step in (1, 4, 60):
+        one = topk.Search(np.array([500]), np.array([[3.0, 2.0, 1.0, 1.0]]), 5)
+        for at in range(0, 60, step):
+            one.add(names[at : at + step], x[at : at + step])
+        best = {}
+        for n, s in zip(names.tolist(), (x @ np.array([3.0, 2.0, 1.0, 1.0])).tolist()):
+            best[n] = max(best.get(n, s), s)
+        want = sorted(best.items(), key=lambda y: (-y[1], y[0]))[:5]
+        assert sorted(zip(*(a.tolist() for a in one.rows()[1:]))) == sorted((n, int(s)) for n, s in want)
