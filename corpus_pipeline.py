@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that an earlier document holds; n_chars follows the new text."""
-    found = line_dedup.dedup(docs).select("row.*", "n_removed")
+    found = line_dedup.dedup(docs, first_only=False).select("row.*", "n_removed")
     n = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", n).select(docs.columns)
 

@@ -1,9 +1,17 @@
-"""Line dedup: overlapping documents found through shared rare lines, aligned with patience diff, cut in the later one.
+"""Line dedup: overlapping documents, aligned with patience diff, cut in the later one.
 
-A line is rare in a document that holds it once and where it has `min_words` words. Each document is
-paired with the first holder (in order of doc_id) of each of its rare lines, so a line that n documents share makes n - 1
-pairs, however frequent it is: frequent lines need no cap, and every shared rare line is aligned at least
-once. What goes through the joins is line hashes; texts are shuffled once, to meet the cuts.
+`dedup` aligns a document with every earlier one that can take a line from it. Equal sequences of lines are
+reduced to their first document. What documents meet by are runs: the shortest sequences of lines that follow each
+other and together weigh `min_words`, one line where it is long enough. Every place of every common block is in a run that
+both documents hold. A document is first aligned with the first holder of each of its runs, then, for runs that
+still have an uncut place, with the next ones, `HOLDERS` in all. What is still uncut then and has more holders before
+it is a passage that stands in other places everywhere: it is cut without an alignment, so no holder is
+left out and a run that n documents share makes no more than HOLDERS * n pairs.
+
+With `first_only` a line is rare in a document that holds it once and where it has `min_words` words, and each
+document is paired only with the first holder of each of its rare lines.
+
+What goes through the joins is line hashes; texts are shuffled once, to meet the cuts.
 """
 
 from __future__ import annotations
@@ -14,12 +22,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import per_batch, text_column, written
 
 MIN_WORDS = 3
+#: Earlier holders of a run that a document is aligned with, by rounds.
+ROUNDS = (1, 4, 16)
+HOLDERS = ROUNDS[-1]
+_PRIME = (1 << 61) - 1
+_BASE = 0x1B873593CC9E2D51 % _PRIME
 
 
 def line_key(line: str) -> int:
@@ -28,6 +41,38 @@ def line_key(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode()) - (1 << 63) if line else 0
 
 
+def runs(lines: list[int], weights: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(key, from, to) of the shortest runs that weigh min_words, from each place on and back from each place."""
+    spans = set()
+    i = total = 0
+    for end, w in enumerate(weights, 1):
+        total += w
+        while total - weights[i] >= min_words:
+            total -= weights[i]
+            i += 1
+        if total >= min_words:
+            spans.add((i, end))
+    end, total = len(weights), 0
+    for i in range(len(weights) - 1, -1, -1):
+        total += weights[i]
+        while total - weights[end - 1] >= min_words:
+            end -= 1
+            total -= weights[end]
+        if total >= min_words:
+            spans.add((i, end))
+    if all(b - a == 1 for a, b in spans):
+        return [(lines[a], a, b) for a, b in sorted(spans)]
+    sums, powers = [0], [1]
+    for x in lines:
+        sums.append((sums[-1] * _BASE + x) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    out = []
+    for a, b in sorted(spans):
+        key = lines[a] if b - a == 1 else xxhash.xxh64_intdigest(f"{(sums[b] - sums[a] * powers[b - a]) % _PRIME}/{b - a}") - (1 << 63)
+        out.append((key, a, b))
+    return out
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, in order of the first place, in which the second places rise (patience sorting)."""
     tops: list[int] = []
@@ -130,12 +175,9 @@ def pairs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.select("first_id", "first_key", "doc_id", "text_key").distinct()
 
 
-def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, cut array<boolean>): for documents that lose lines, which ones."""
-    docs = text_column(docs.select("doc_id", "text"))
-    seqs = written(sequences(docs).dropDuplicates(["doc_id", "text_key"]), "sequences")
+def aligned(two: DataFrame, seqs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_key, place, size): the places that alignments of two(first_id, first_key, doc_id, text_key) cut, and how many lines there are."""
     kind = dict(seqs.dtypes)["doc_id"]
-    two = written(pairs(seqs, min_words), "pairs")
     first = seqs.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("lines").alias("first_lines"))
     both = two.join(seqs, ["doc_id", "text_key"]).join(first, ["first_id", "first_key"])
 
@@ -149,6 +191,13 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         at = pa.array(which, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], names=["doc_id", "text_key", "place", "size"])
 
+    return per_batch(both.select("doc_id", "text_key", "first_lines", "lines", "weights"), align, f"doc_id {kind}, text_key long, place int, size int")
+
+
+def flagged(places: DataFrame) -> DataFrame:
+    """(doc_id, text_key, cut array<boolean>) from rows(doc_id, text_key, place, size), which may repeat."""
+    kind = dict(places.dtypes)["doc_id"]
+
     def flags(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cut = []
         for places, n in zip(batch.column("places").to_pylist(), batch.column("size").to_pylist()):
@@ -158,12 +207,91 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cut.append(own)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(cut, pa.list_(pa.bool_()))], names=["doc_id", "text_key", "cut"])
 
-    lines = per_batch(both.select("doc_id", "text_key", "first_lines", "lines", "weights"), align, f"doc_id {kind}, text_key long, place int, size int")
-    places = lines.distinct().groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"), F.max("size").alias("size"))
-    return per_batch(places, flags, f"doc_id {kind}, text_key long, cut array<boolean>")
+    own = places.distinct().groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"), F.max("size").alias("size"))
+    return per_batch(own, flags, f"doc_id {kind}, text_key long, cut array<boolean>")
+
+
+def first_cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, cut array<boolean>): for documents that lose lines, which ones, by the first holders of rare lines."""
+    docs = text_column(docs.select("doc_id", "text"))
+    seqs = written(sequences(docs).dropDuplicates(["doc_id", "text_key"]), "sequences")
+    two = written(pairs(seqs, min_words), "pairs")
+    return flagged(aligned(two, seqs, min_words))
+
+
+def _open(keys: DataFrame, seqs: DataFrame, cut: DataFrame, min_words: int, places: bool = False) -> DataFrame:
+    """(key, doc_id, text_key) of the rows of keys whose run has an uncut place in its document; or (doc_id, text_key, place, size) of such runs."""
+    kind = dict(seqs.dtypes)["doc_id"]
+    own = keys.groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys"))
+    rows = own.join(seqs, ["doc_id", "text_key"]).join(cut, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "keys", "lines", "weights", "cut")
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        which, out, sizes = [], [], []
+        for i, (own, lines, weights, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("keys", "lines", "weights", "cut")))):
+            asked, gone = set(own), gone or [False] * len(lines)
+            left = [(key, a, b) for key, a, b in runs(lines, weights, min_words) if key in asked and not all(gone[a:b])]
+            found = {k for _, a, b in left for k in range(a, b)} if places else {key for key, _, _ in left}
+            which += [i] * len(found)
+            out += found
+            sizes += [len(lines)] * len(found)
+        at = pa.array(which, pa.int64())
+        doc = [batch.column("doc_id").take(at), batch.column("text_key").take(at)]
+        if places:
+            yield pa.RecordBatch.from_arrays([*doc, pa.array(out, pa.int32()), pa.array(sizes, pa.int32())], names=["doc_id", "text_key", "place", "size"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *doc], names=["key", "doc_id", "text_key"])
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    return per_batch(rows, run, f"doc_id {kind}, text_key long, place int, size int" if places else f"key long, doc_id {kind}, text_key long")
+
+
+def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, cut array<boolean>): for documents that lose lines, which ones, by all earlier documents."""
+    name = ["doc_id", "text_key"]
+    docs = text_column(docs.select("doc_id", "text"))
+    every = written(sequences(docs).dropDuplicates(name), "sequences")
+    kind = dict(every.dtypes)["doc_id"]
+    first = every.groupBy(F.xxhash64("lines").alias("all"), F.hash("lines").alias("more")).agg(F.min(F.struct(*name)).alias("first"))
+    first = written(first.select("first.*"), "representatives")
+    seqs = written(every.join(first, name, "left_semi"), "different")
+    heavy = F.aggregate("weights", F.lit(0).cast("long"), lambda n, w: n + w) >= min_words
+    copies = every.join(first, name, "left_anti").where(heavy).select(*name, F.transform("weights", lambda w: F.lit(True)).alias("cut"))
+
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        which, out = [], []
+        for i, (lines, weights) in enumerate(zip(batch.column("lines").to_pylist(), batch.column("weights").to_pylist())):
+            own = {key for key, _, _ in runs(lines, weights, min_words)}
+            which += [i] * len(own)
+            out += own
+        at = pa.array(which, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *(batch.column(c).take(at) for c in name)], names=["key", *name])
+
+    held = written(per_batch(seqs, keys, f"key long, doc_id {kind}, text_key long"), "runs")
+    shared = written(held.join(held.groupBy("key").count().where("count > 1"), "key", "left_semi"), "shared")
+    order = Window.partitionBy("key").orderBy(*name)
+    holders = written(shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HOLDERS + 1), "holders")
+    todo, places, done, last = shared, None, None, 0
+    for upto in ROUNDS:
+        met = holders.where((F.col("rank") > last) & (F.col("rank") <= upto)).select("key", F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
+        two = todo.join(met, "key").where(F.struct(F.col("first_id").alias("doc_id"), F.col("first_key").alias("text_key")) < F.struct(*name)).select("first_id", "first_key", *name).distinct()
+        if done is not None:
+            two = two.join(done, ["first_id", "first_key", *name], "left_anti")
+        two = written(two, "pairs")
+        found = written(aligned(two, seqs, min_words), "places")
+        done = two if done is None else done.unionByName(two)
+        places = found if places is None else places.unionByName(found)
+        cut = written(flagged(places), "flags")
+        # a document of rank r has r - 1 earlier holders
+        rest = todo.join(holders.where(F.col("rank") <= upto + 1).select("key", *name), ["key", *name], "left_anti")
+        todo, last = written(_open(rest, seqs, cut, min_words), "open"), upto
+        if todo.isEmpty():
+            break
+    else:
+        places = places.unionByName(written(_open(todo, seqs, cut, min_words, places=True), "moved"))
+        cut = flagged(places)
+    return cut.unionByName(copies)
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True) -> DataFrame:
     """(row, n_lines, n_removed) for every row of docs(doc_id, text, ...): row is the document's struct with its new text.
 
     Lines end at \\n and are compared without the white space around them. Rows that agree on doc_id and
@@ -171,7 +299,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     is earlier. Rows without doc_id or text stay as they are and cut nothing; a null text has no lines, an
     empty one has one. A document may lose all its lines: its text is then empty.
     """
-    cut = written(cuts(docs, min_words), "cuts")
+    cut = written((first_cuts if first_only else cuts)(docs, min_words), "cuts")
     columns = docs.columns
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_key"), text.alias("own_text"))
@@ -185,6 +313,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return met.select(F.struct(*fields).alias("row"), n_lines.cast("long").alias("n_lines"), F.when(F.col("cut").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
 
 
-def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True) -> DataFrame:
     """docs with the aligned blocks cut from the texts of later documents; all rows stay."""
-    return dedup(docs, min_words).select("row.*")
+    return dedup(docs, min_words, first_only).select("row.*")
