@@ -6,7 +6,7 @@ other and together weigh `min_words`, one line where it is long enough. Every pl
 both documents hold. A document is first aligned with the first holder of each of its runs, then, for runs that
 still have an uncut place, with the next ones, `HOLDERS` in all. What is still uncut then and has more holders before
 it is a passage that stands in other places everywhere: it is cut without an alignment, so no holder is
-left out and a run that n documents share makes no more than HOLDERS * n pairs.
+left out and a run that n documents share makes no more than HOLDERS * n pairs. Repeated long lines are numbered in each document.
 
 With `first_only` a line is rare in a document that holds it once and where it has `min_words` words, and each
 document is paired only with the first holder of each of its rare lines.
@@ -16,6 +16,7 @@ What goes through the joins is line hashes; texts are shuffled once, to meet the
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ MIN_WORDS = 3
 #: Earlier holders of a run that a document is aligned with, by rounds.
 ROUNDS = (1, 4, 16)
 HOLDERS = ROUNDS[-1]
+#: Scripts that put no blanks between words.
+_NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _PRIME = (1 << 61) - 1
 _BASE = 0x1B873593CC9E2D51 % _PRIME
 
@@ -41,6 +44,26 @@ def line_key(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode()) - (1 << 63) if line else 0
 
 
+def weight(line: str) -> int:
+    """Words of a line; two characters of a script without blanks, or 16 of any, count as a word at least."""
+    line = line.strip()
+    n = 0 if line.isascii() else len(_NO_BLANKS.findall(line))
+    return min(max(len(line.split()), n // 2, len(line) // 16), 32_000)
+
+
+def numbered(lines: list[int], weights: list[int], min_words: int) -> list[int]:
+    """Lines of min_words, from their second occurrence on, under a hash of line and occurrence."""
+    seen: Counter = Counter()
+    out = []
+    for x, w in zip(lines, weights):
+        if w >= min_words:
+            seen[x] += 1
+            if seen[x] > 1:
+                x = xxhash.xxh64_intdigest(f"{x}/{seen[x]}") - (1 << 63)
+        out.append(x)
+    return out
+
+
 def runs(lines: list[int], weights: list[int], min_words: int) -> list[tuple[int, int, int]]:
     """(key, from, to) of the shortest runs that weigh min_words, from each place on and back from each place."""
     spans = set()
@@ -138,16 +161,20 @@ def common_blocks(first: list[int], later: list[int], weights: list[int], min_wo
     return out
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lines, weights) of each different document that has an id: hashes and word counts of its lines."""
+def sequences(docs: DataFrame, number_from: int | None = None) -> DataFrame:
+    """(doc_id, text_key, lines, weights) of each different document that has an id: hashes and word counts of its lines.
+
+    With number_from, weights are those of `weight`, and repeated lines of that weight are numbered.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, weights = [], []
         for text in batch.column("text").to_pylist():
             lines = text.split("\n")
-            keys.append([line_key(x) for x in lines])
-            weights.append([min(len(x.split()), 32_000) for x in lines])
+            own = [line_key(x) for x in lines]
+            weights.append([min(len(x.split()), 32_000) if number_from is None else weight(x) for x in lines])
+            keys.append(own if number_from is None else numbered(own, weights[-1], number_from))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int16()))], names=["doc_id", "text_key", "lines", "weights"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -248,7 +275,7 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, cut array<boolean>): for documents that lose lines, which ones, by all earlier documents."""
     name = ["doc_id", "text_key"]
     docs = text_column(docs.select("doc_id", "text"))
-    every = written(sequences(docs).dropDuplicates(name), "sequences")
+    every = written(sequences(docs, min_words).dropDuplicates(name), "sequences")
     kind = dict(every.dtypes)["doc_id"]
     first = every.groupBy(F.xxhash64("lines").alias("all"), F.hash("lines").alias("more")).agg(F.min(F.struct(*name)).alias("first"))
     first = written(first.select("first.*"), "representatives")

@@ -9,8 +9,8 @@ def brute(rows, min_words=3):
     seqs = {}
     for d, t in sorted(rows):
         own = t.split("\n")
-        weights = [len(x.split()) for x in own]
-        seqs[d] = ([line_dedup.line_key(x) for x in own], weights)
+        weights = [line_dedup.weight(x) for x in own]
+        seqs[d] = (line_dedup.numbered([line_dedup.line_key(x) for x in own], weights, min_words), weights)
     out = {}
     for d, (mine, weights) in seqs.items():
         out[d] = {k for e, (other, _) in seqs.items() if e < d for k in line_dedup.common_blocks(other, mine, weights, min_words)}
@@ -46,6 +46,16 @@ def test_later_holders(spark):
     assert got == kept(rows, brute(rows))
 
 
+def test_repeated_and_short_lines(spark):
+    twice = "\n".join(["a line of words", "b", "a line of words", "c"])
+    verse = "roses\nare\nred\n\nviolets\nare\nblue"
+    han = "\u5929\u5730\u7384\u9ec4\u5b87\u5b99\u6d2a\u8352"
+    rows = [(1, twice), (2, f"{twice}\nown end of this"), (3, verse), (4, f"own start of this\n{verse}"), (5, han), (6, f"{han}\nx"), (7, "x\ny"), (8, "x\ny"), (9, "a\n\n" + twice)]
+    got = found(spark, rows)
+    assert got[2] == "own end of this" and got[4] == "own start of this" and got[6] == "x" and got[8] == "x\ny" and got[9] == "a\n"
+    assert got == kept(rows, brute(rows))
+
+
 def test_against_every_earlier_document(spark):
     r = random.Random(4)
     pool = lines(r, 30) + ["x", "", "y z", ""]
