@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,10 @@ AGAINST = ("sha1", "sha256", "md5", "checksum", "digest", "commit", "uuid", "exa
 PLAIN_PATHS = ("test", "example", "doc", "sample", "lock", "fixture")
 ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{0,40})[\"']?[ \t]*(?:=|:=|:|=>)[ \t]*[\"']?([^\s\"'<>,;(){}\[\]]{8,})")
 BARE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}")
+#: A value up to what ends it in a URL or connection string; and up to a further assignment, for values inside more than NESTED others.
+PART, INNER, NESTED = re.compile("[^&@#|]+"), re.compile("[^&@#|:=?]+"), 8
+#: The next field of a URL's query, which is in no value.
+QUERY = re.compile("&[A-Za-z_][A-Za-z0-9_.-]*=")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CLASS = np.full(128, 3, np.int8)
 for _chars, _k in ((LETTERS, 0), (LETTERS.upper(), 1), ("0123456789", 2)):
@@ -90,6 +95,7 @@ def covered(text: str, dictionary: frozenset[str]) -> tuple[float, int]:
 
 
 FEATURES = ["length", "digits", "upper", "lower", "other", "distinct", "entropy", "class_changes", "letter_pairs", "covered", "longest_word", "hex", "prefix", "name", "assigned", "against", "near_name", "plain_path", "mail_or_path"]
+PREFIX, NAME = FEATURES.index("prefix"), FEATURES.index("name")
 
 
 def features(candidate: str, name: str, before: str, after: str, path: str, corpus: Corpus) -> list[float]:
@@ -112,23 +118,47 @@ def features(candidate: str, name: str, before: str, after: str, path: str, corp
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, name it is assigned to or nothing) of strings that could be secrets: values of an assignment, and long mixed strings."""
+    """(start, end, name it is assigned to or nothing) of strings that could be secrets: values of an assignment, and long mixed strings.
+
+    They may lie inside each other: the value of an assignment may hold further assignments, end at a mark of a URL, or
+    hold long strings.
+    """
     out = {}
     for m in BARE.finditer(text):
         s = m[0].rstrip(".=-/_+") or m[0]
         if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and len(s) >= 16:
             out[m.start(), m.start() + len(s)] = ""
-    for m in ASSIGNED.finditer(text):
-        s = m[2].rstrip(".")
-        if len(s) < 8 or not re.search("[0-9A-Za-z]", s):
-            continue
-        a, b = m.start(2), m.start(2) + len(s)
-        for k in [k for k in out if k[0] < b and a < k[1]]:
-            del out[k]
-        out[a, b] = m[1]
+    bare, level, outer = sorted(out), 0, -1
+    at = 0
+    while m := ASSIGNED.search(text, at):
+        at = m.start(2)  # the next assignment may be inside this value
+        level, outer = (level + 1, outer) if m.start() < outer else (0, m.end(2))
+        values = [QUERY.split(m[2], maxsplit=1)[0].rstrip(".")] if level < NESTED else []
+        values += [x[0] for x in [PART.match(m[2]) if level < NESTED else INNER.match(m[2])] if x and x[0] not in values]
+        for s in values:
+            if len(s) < 8 or not re.search("[0-9A-Za-z]", s):
+                continue
+            for k in bare[max(0, bisect_left(bare, (at, 0)) - 1) : bisect_left(bare, (at, 0))]:
+                if k[0] < at < k[1]:  # it runs over the name
+                    out.pop(k, None)
+            out[at, at + len(s)] = m[1]
     return sorted((a, b, name) for (a, b), name in out.items())
 
 
+def _best(opens: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of candidates that overlap none of a higher score; ties go to the first and then to the longest."""
+    bounds = np.append(np.flatnonzero(opens), len(opens))
+    keep = np.ones(len(opens), bool)
+    for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
+        held: list[tuple[int, int]] = []
+        for k in sorted(range(bounds[i], bounds[i + 1]), key=lambda k: (-score[k], start[k], -end[k])):
+            a, b = int(start[k]), int(end[k])
+            keep[k] = all(b <= x or y <= a for x, y in held)
+            if keep[k]:
+                held.append((a, b))
+    return np.flatnonzero(keep)
+
+
 def labelled_examples(corpus: Corpus, n: int = 6000, seed: int = SEED) -> list[tuple[str, str, str, str, str, int]]:
     """(candidate, name, before, after, path, label): n findings, half of them secrets, made from a fixed seed."""
     r = random.Random(seed)
@@ -188,8 +218,10 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, str, int
 
 
 def findings(docs: DataFrame, model: RandomForestClassificationModel, corpus: Corpus, path: str = "source") -> DataFrame:
-    """(doc_id, start, end, name, secret, score) for every candidate of docs(doc_id, text[, path]); start and end count characters.
+    """(doc_id, start, end, name, secret, score) for candidates of docs(doc_id, text[, path]); start and end count characters.
 
+    Of candidates that overlap, those with the highest scores stay; one with score 0.5 and
+    a credential's prefix or name goes before all without, which may be a URL or log line around it.
     Null and empty texts have no candidates. Repeated rows give their findings each. Extra columns are not
     read; without a path column paths are empty.
     """
@@ -201,17 +233,38 @@ def findings(docs: DataFrame, model: RandomForestClassificationModel, corpus: Co
         which, rows = [], []
         for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("path").to_pylist())):
             text = text or ""
+            reach = -1
             for a, b, name in candidates(text):
                 x = features(text[a:b], name, text[max(0, a - BESIDE) : a], text[b : b + BESIDE], at, shared.value)
                 which.append(i)
-                rows.append((a, b, name, text[a:b], x))
-        a, b, name, secret, x = zip(*rows) if rows else ((),) * 5
-        cols = [batch.column("doc_id").take(pa.array(which, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(name, pa.string()), pa.array(secret, pa.string()), pa.array(x, pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "name", "secret", "x"])
-
-    rows = per_batch(text_column(docs.select("doc_id", "text", where.alias("path"))), run, f"doc_id {kind}, start long, end long, name string, secret string, x array<double>")
+                rows.append((a, b, name, text[a:b], x, a >= reach, x[PREFIX] + x[NAME] > 0))
+                reach = max(reach, b)
+        a, b, name, secret, x, opens, known = zip(*rows) if rows else ((),) * 7
+        cols = [batch.column("doc_id").take(pa.array(which, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(name, pa.string()), pa.array(secret, pa.string()), pa.array(x, pa.list_(pa.float64())), pa.array(opens, pa.bool_()), pa.array(known, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "name", "secret", "x", "opens", "known"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the rows of a document are next to each other, as no shuffle is between; a group may go on in the next batch
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.concat_batches([held, batch]) if held is not None else batch
+            last = int(np.flatnonzero(batch.column("opens").to_numpy(zero_copy_only=False))[-1])
+            held = batch.slice(last)
+            yield pick(batch.slice(0, last))
+        if held is not None:
+            yield pick(held)
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        opens, start, end, score, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("opens", "start", "end", "score", "known"))
+        found = _best(opens, start, end, score + (known & (score >= 0.5)))
+        return batch.take(pa.array(found)).select(["doc_id", "start", "end", "name", "secret", "score"])
+
+    rows = per_batch(text_column(docs.select("doc_id", "text", where.alias("path"))), run, f"doc_id {kind}, start long, end long, name string, secret string, x array<double>, opens boolean, known boolean")
     scored = model.transform(rows.withColumn("v", array_to_vector("x")))
-    return scored.select("doc_id", "start", "end", "name", "secret", vector_to_array("probability")[1].alias("score"))
+    scored = scored.select("doc_id", "start", "end", "name", "secret", vector_to_array("probability")[1].alias("score"), "opens", "known")
+    return scored.mapInArrow(best, f"doc_id {kind}, start long, end long, name string, secret string, score double")
 
 
 def scan(docs: DataFrame, labelled: list[tuple[str, str, str, str, str, int]] | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
