@@ -26,7 +26,6 @@ class MergeCounter(dict):
     """word -> number of tokens, for a BPE file with byte-level symbols and an end-of-word suffix."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -38,17 +37,18 @@ class MergeCounter(dict):
         self.rank = {p: k for k, p in reversed(list(enumerate(pairs)))}
         self.symbols = byte_symbols()
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split)
         # The short cut holds for this normalizer and these classes only; other files take the general way.
         self.latin = [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and split.startswith("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|")
-        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        library = Tokenizer.from_file(path)
+        self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         special = [re.escape(x["content"]) for x in spec["added_tokens"]]
         self.special = re.compile("|".join(special)) if special else None
 
     def __missing__(self, word: str) -> int:
+        """The count of a word given as its bytes' symbols."""
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = n = self.merged([self.symbols[b] for b in word.encode()])
+        self[word] = n = self.merged(list(word))
         return n
 
     def merged(self, symbols: list[str]) -> int:
@@ -80,10 +80,13 @@ class MergeCounter(dict):
         return left
 
     def plain(self, text: str) -> int:
+        """Tokens of a text without special strings. Letters' classes and the split are the library's own, but for Latin-1."""
         if self.latin and LATIN.fullmatch(text):
             words = LATIN_SPLIT.findall(text.lower())
+            if not text.isascii():
+                words = [w if w.isascii() else "".join(map(self.symbols.__getitem__, w.encode())) for w in words]
         else:
-            words = self.split.findall(self.normalize(text))
+            words = [w for w, _ in self.cut(self.normalize(text))]
         return sum(map(self.__getitem__, words))
 
     def count(self, text: str) -> int:

@@ -1,20 +1,24 @@
 """SimHash near-dedup: fingerprints of word shingles, and all pairs within a few bits through vantage-point trees.
 
-A pair within `max_distance` bits is, by the pigeonhole principle, within floor(max_distance / pieces)
-bits on at least one of `pieces` disjoint bit ranges. There is one vantage-point tree for each range. Its
-metric is the Hamming distance on that range, a branch is the shell of points at one distance from the
-vantage point, and the triangle bound |d(x, v) - d(y, v)| <= d(x, y) says which shells a point has to
-visit: its own and, where the range's bound is over zero, those that the boundary band overlaps. A path
-through all levels names a shard. Vantage points come from a fixed seed, so no sample, tree or
-fingerprint passes through the driver.
+A pair within `max_distance` bits is, by the pigeonhole principle, within band = floor(max_distance / pieces)
+bits on at least one of `pieces` disjoint bit ranges. There is one vantage-point tree for each range, on half
+of the bits and with a band of 1 for the usual 2 bits. The vantage point of a level is compared on that level's share
+of the range, and the points around it are cut into shells by their Hamming distance from it. By the triangle
+bound |d(x, v) - d(y, v)| <= d(x, y) the shells of a pair differ by no more than its bits in that share, so over all
+levels of a tree by no more than the band. A point therefore goes to its own shell and, as long as
+the band is not used up, to the next shells inward, which its boundary band overlaps; all other branches are pruned. Two
+points of a pair meet where each level has the inner one of their shells. A path through all levels
+names a shard. Vantage points come from a fixed seed, so no sample, tree or fingerprint passes through the driver;
+the number of levels follows from the number of points, and the copies of a point grow with the levels only.
 
 A shard that holds more than `capacity` fingerprints is not gathered: its rows go back out and descend in
-`pieces` new trees over the bits that the first path has not fixed. The bits run out after a few rounds,
-which bounds every shard.
+max_distance + 1 new trees with a level for each bit and a band of 0, so a point has one shard in each. Such bits are
+not used again, and they run out after a few rounds, which bounds every shard.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,12 @@ from lodeseek.llm.components import components
 
 SHINGLE = 3
 MAX_DISTANCE = 2
-#: Vantage points on a path. Two points of one range that differ share a path with probability under 1/2 for each.
-LEVELS = 12
+#: Bit ranges, each with a tree.
+PIECES = 2
 #: Most fingerprints that one shard compares in memory.
 CAPACITY = 4096
+#: Names for a document's id and text hash beside whatever columns a table has.
+KEPT_ID, KEPT_KEY = "__kept_doc_id", "__kept_text_key"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,15 +58,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(over * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row of docs(doc_id, text). Null text has no words: fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, *keep) for every row of docs(doc_id, text, *keep). Null text has no words: fingerprint zero."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(t, shingle) for t in texts(batch)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(fp))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(fp)), *map(batch.column, keep)], names=["doc_id", "fp", *keep])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return per_batch(text_column(docs.select("doc_id", "text")), run, f"doc_id {kind}, fp long")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"doc_id {kinds['doc_id']}, fp long", *(f"{c} {kinds[c]}" for c in keep)])
+    return per_batch(text_column(docs.select("doc_id", "text", *keep)), run, schema)
 
 
 def _ranges(mask: int, pieces: int) -> list[int]:
@@ -73,21 +80,39 @@ def _vantage(mask: int, level: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(f"{mask}/{level}".encode(), 7) & mask)
 
 
-def paths(fp: np.ndarray, start: np.ndarray, mask: int, band: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into fp, path key, whether it is the point's own shard): the shards that each point visits in one tree."""
-    at, key, home = np.arange(len(fp)), start.copy(), np.ones(len(fp), bool)
-    for level in range(levels):
-        v = _vantage(mask, level)
-        d = bits_set((fp & np.uint64(mask)) ^ v).astype(np.int64)
-        steps = [(at, d[at] + s, key, home & (s == 0)) for s in range(-band, band + 1)]
-        at, shell, key, home = (np.concatenate(x) for x in zip(*steps))
+def paths(fp: np.ndarray, start: np.ndarray, mask: int, band: int, levels: int, inward: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into fp, path key, whether it is the point's own shard): the shards that each point visits in one tree.
+
+    A point visits shells up to `band` off its own, all levels together: on both sides, or with `inward` on the inner side alone.
+    """
+    at, key, used = np.arange(len(fp)), start.copy(), np.zeros(len(fp), np.int64)
+    for level, share in enumerate(_ranges(mask, levels)):
+        d = bits_set((fp & np.uint64(share)) ^ _vantage(share, level)).astype(np.int64)
+        steps = []
+        for s in range(-band, 1 if inward else band + 1):
+            go = (used + abs(s) <= band) & (d[at] + s >= 0)
+            steps.append((at[go], d[at[go]] + s, key[go], used[go] + abs(s)))
+        at, shell, key, used = (np.concatenate(x) for x in zip(*steps))
         key = (key ^ shell.astype(np.uint64)) * _MIX
         key ^= key >> np.uint64(29)
-    return at, key, home
+    return at, key, used == 0
+
 
+def levels_for(points: int, bits: int, capacity: int) -> int:
+    """The least number of levels, 2 or more, at which the fullest shard of evenly spread points holds `capacity` of them at most."""
+    for n in range(2, bits):
+        share = round(bits / n)
+        fullest = math.comb(share, share // 2) / 2**share
+        if points * (1 + n) * fullest**n <= capacity:
+            return n
+    return bits
 
-def _route(rows: DataFrame, max_distance: int, pieces: int, levels: int) -> DataFrame:
-    """(key, mask, fp, home) of all shards, from rows(key, mask, fp): mask holds the bits not yet fixed."""
+
+def _route(rows: DataFrame, max_distance: int, pieces: int, levels: int | None) -> DataFrame:
+    """(key, mask, fp) of all shards, from rows(key, mask, fp): mask holds the bits that have had no level of their own.
+
+    With levels None there is one for each bit, which takes the range from the mask.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key, mask, fp = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "mask", "fp"))
@@ -95,11 +120,11 @@ def _route(rows: DataFrame, max_distance: int, pieces: int, levels: int) -> Data
             sel = mask == m
             for j, part in enumerate(_ranges(int(m), pieces)):
                 start = (key[sel] + np.uint64(j + 1)) * _MIX
-                at, path, home = paths(fp[sel], start, part, max_distance // pieces, levels)
-                left = np.full(len(at), np.uint64(int(m) & ~part & (2**64 - 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(path), signed(left), signed(fp[sel][at]), home)], names=["key", "mask", "fp", "home"])
+                at, path, _ = paths(fp[sel], start, part, max_distance // pieces, levels or part.bit_count(), inward=True)
+                left = np.full(len(at), np.uint64(int(m) if levels else int(m) & ~part & (2**64 - 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(path), signed(left), signed(fp[sel][at]))], names=["key", "mask", "fp"])
 
-    return per_batch(rows, run, "key long, mask long, fp long, home boolean")
+    return per_batch(rows, run, "key long, mask long, fp long")
 
 
 def linked(fp: np.ndarray, max_distance: int) -> np.ndarray:
@@ -212,16 +237,17 @@ def _search(rows: DataFrame, max_distance: int, capacity: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, key long, mask long")
 
 
-def near_links(points: DataFrame, max_distance: int = MAX_DISTANCE, pieces: int | None = None, capacity: int = CAPACITY, levels: int = LEVELS) -> DataFrame:
+def near_links(points: DataFrame, max_distance: int = MAX_DISTANCE, pieces: int | None = None, capacity: int = CAPACITY, levels: int | None = None) -> DataFrame:
     """Edges (a, b) that link every two distinct fp of points(fp) within max_distance bits, directly or through others.
 
     A shard gives one edge for each of its linked points, not all pairs, so the edges grow with the points.
     """
-    pieces = pieces or max_distance + 1
+    pieces = pieces or PIECES
+    levels = levels or levels_for(points.count(), 64 // pieces, capacity)
     todo = points.select(F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("mask"), "fp")
     found: list[DataFrame] = []
-    for _ in range(64):
-        routed = _route(todo, max_distance, pieces, levels).select("key", "mask", "fp")
+    for turn in range(64):
+        routed = _route(todo, max_distance, max_distance + 1, None) if turn else _route(todo, max_distance, pieces, levels)
         dealt = routed.repartition(shuffle_parts(points), "key").sortWithinPartitions("key", "mask", "fp")
         out = written(_search(dealt, max_distance, capacity), "links")
         found.append(out.where("a IS NOT NULL").select("a", "b"))
@@ -235,33 +261,40 @@ def near_links(points: DataFrame, max_distance: int = MAX_DISTANCE, pieces: int
     return edges
 
 
-def near_dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle: int = SHINGLE, capacity: int = CAPACITY, pieces: int | None = None) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for every row of docs(doc_id, text, ...).
+def near_dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle: int = SHINGLE, capacity: int = CAPACITY, pieces: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id, component, *keep) for every row of docs(doc_id, text, ...).
 
-    component_id is the smallest doc_id among the documents whose fingerprints are linked. Empty and null
-    texts share fingerprint zero and are linked like any others. Repeated rows each keep their row. A null
-    doc_id keeps its row and never names a component, unless no other document is in it: then it is null.
-    Extra columns are not read. An empty table gives an empty result.
+    component_id is the smallest doc_id among the documents whose fingerprints are linked, component their
+    smallest fp. Empty and null texts share fingerprint zero and are linked like any others. Repeated rows each keep
+    their row. A null doc_id keeps its row and never names a component, unless no other document is in it: then it
+    is null. Extra columns are not read, but for those of keep. An empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, shingle), "fingerprints")
+    rows = written(fingerprints(docs, shingle, keep), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     comp = components(near_links(points.select("fp"), max_distance, pieces, capacity))
-    placed = written(points.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(placed.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = written(points.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = written(placed.join(least, "component").select("fp", "component", "component_id"), "named")
+    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *keep)
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group: the row whose doc_id is its component_id (one of them, where rows repeat).
+    """docs with one document of each group of linked fingerprints: the one with the smallest doc_id.
 
-    Rows without doc_id stay. Columns are those of docs.
+    Documents are told apart by doc_id and text: where different texts share a doc_id, each stays or goes with
+    its own group, and within a group the one with the smaller text hash is first. Rows that repeat doc_id and
+    text are one document, of which one row stays. Rows without doc_id stay. Columns are those of docs.
     """
-    found = near_dedup(docs, **how)
-    kept = written(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    twice = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    text = F.col("text").cast("string")
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    groups = near_dedup(own, keep=("text_key",), **how)
+    kept = written(groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*"), "kept")
+    named = docs.withColumns({KEPT_ID: F.col("doc_id"), KEPT_KEY: F.xxhash64(text)})
+    kept = kept.toDF(KEPT_ID, KEPT_KEY)
+    named = named.join(kept, [KEPT_ID, KEPT_KEY], "left_semi")
+    many = own.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    twice = written(many.toDF(KEPT_ID, KEPT_KEY), "repeated")
     if not twice.isEmpty():
-        again = named.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        named = named.join(twice, "doc_id", "left_anti").unionByName(again)
+        again = named.join(twice, [KEPT_ID, KEPT_KEY], "left_semi").dropDuplicates([KEPT_ID, KEPT_KEY])
+        named = named.join(twice, [KEPT_ID, KEPT_KEY], "left_anti").unionByName(again)
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -12,6 +12,8 @@ import numpy as np
 #: module has been checked against the tokenizers library (tests/llm/test_tokens.py).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\t\n\r -~¡-ſ–—‘’“”…]*")
+#: The split backtracks over white space, one stack frame a character, so a run of so many goes to the library.
+LONG_SPACE = re.compile(r"\s{4096}")
 
 
 def byte_symbols() -> list[str]:
@@ -26,8 +28,9 @@ class ByteBpe:
 
     Ids are those of the tokenizers library with add_special_tokens=False, special strings in a text being
     special, which is its default. Where the file is plain byte-level BPE whose ids follow its merges, and a
-    text has only characters of PLAIN and no special string, tiktoken merges with the ranks read from the
-    same file: equal ids for a fifth of the CPU time. Every other text goes to the library.
+    text has only characters of PLAIN, no LONG_SPACE and no special string, tiktoken merges with the ranks
+    read from the same file: equal ids for a fifth of the CPU time. Every other text goes to the library.
+    Texts may be of any length and hold runs of any length.
     """
 
     def __init__(self, path: str):
@@ -56,7 +59,7 @@ class ByteBpe:
         return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or not PLAIN.fullmatch(text) or any(x in text for x in self.special):
+        if self.fast is None or not PLAIN.fullmatch(text) or LONG_SPACE.search(text) or any(x in text for x in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
