@@ -15,25 +15,32 @@ from lodeseek.llm.queries import table, tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold, learned from the labels of documents that are there; null texts score as empty ones."""
     return toxicity.accepted(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that an earlier document holds; n_chars follows the new text."""
-    found = line_dedup.dedup(docs, first_only=False).select("row.*", "n_removed")
-    n = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumn("n_chars", n).select(docs.columns)
+    """Texts lose the lines that an earlier document holds, and all rows stay; n_chars, where there is such a column, follows the new text."""
+    found = line_dedup.dedup(docs, first_only=False)
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in fields:
+        n = F.when(F.col("n_removed") > 0, F.char_length(fields["text"])).otherwise(fields["n_chars"])
+        fields["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return found.select(*(x.alias(c) for c, x in fields.items()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; empty and null texts are one group, rows without doc_id stay."""
     return simhash.keep_first(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window; an empty benchmark and null texts take nothing away."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences of all documents; null texts hold the end id alone."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 

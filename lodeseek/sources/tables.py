@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,9 +38,11 @@ def manifest(rows: DataFrame) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new path that driver and executors share: below spark.checkpoint.dir, or a new local folder where that is unset (tests)."""
+    """A new path that driver and executors share: below spark.checkpoint.dir, or a new local folder where that is unset and Spark is one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-lodeseek-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/tables/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
