@@ -2,16 +2,19 @@
 
 A vector is cut into segments; means and deviations of two vectors' segments bound their distance from
 below: |q - x|^2 >= sum of length * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2), and so their inner product
-from above. Levels go from few long segments to many short ones. A candidate whose bound at one level is
-under the query's k-th best score so far is out; the rest go on, and what survives the finest level gets its
-exact score. Vectors are integers, so scores are exact.
-
-Queries come in blocks of bounded size. Each task holds one block and streams its part of the candidates;
-k rows for each query and task meet in the end.
+from above. Levels go from few long segments to pairs of components, and on to levels where a part of the segments is
+down to one component each, whose mean says all. A candidate whose bound at one level is under the query's
+k-th best score so far is out; the rest go on, and what survives the last level gets its exact score.
+Each batch of candidates first scores those with a query's highest bounds, so that the k-th best score is a good one
+before anything is judged by it. Vectors are integers, so scores are exact.
+
+Queries come in blocks of bounded size, one job for each. A task holds one block and streams its part of the
+candidates; k rows for each query and task are written, and all meet in the end.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import group_bounds, written
+from lodeseek.llm.common import group_bounds, shared_dir, written
 
 K = 5
 SCALE = 256
+SCORES = "query_id long, vec_id long, score long"
 #: Queries that are broadcast at once.
 BLOCK = 4096
-#: Candidates that are compared at once with a block.
-STEP = 2048
+#: Candidates, and queries of a block, that are compared at once.
+STEP, ROWS = 2048, 512
 
 
 def levels(dimension: int) -> list[np.ndarray]:
-    """Segment borders from coarse to fine: 4, 8, 16, ... segments of two components or more."""
+    """Segment borders from coarse to fine: 4, 8, 16, ... segments of two components or more, pairs, and pairs of which a quarter, half and three quarters are split."""
     out, n = [], 4
-    while 2 * n <= dimension:
+    while 2 * n < dimension:
         out.append(np.linspace(0, dimension, n + 1).astype(int))
         n *= 2
+    for part in range(4):
+        single = dimension * part // 4
+        out.append(np.unique([*range(single + 1), *range(single, dimension, 2), dimension]))
     return out
 
 
@@ -64,30 +71,66 @@ class Search:
     def add(self, names: np.ndarray, x: np.ndarray) -> None:
         """Bring candidates; a query's own row is no candidate of it."""
         norm = np.einsum("ij,ij->i", x, x)
-        q, c = None, None
-        for stats, borders in zip(self.stats, self.levels):
-            own = statistics(x, borders)
-            if q is None:
-                bound = stats @ own.T
-                q, c = np.nonzero(bound + self._slack(norm)[None, :] >= self.least[:, None])
-            elif len(q) * 4 < len(self.ids) * len(names):
-                bound = np.einsum("ij,ij->i", stats[q], own[c])
-                keep = bound + self._slack(norm)[c] >= self.least[q]
+        own = [statistics(x, b) for b in self.levels]
+        exact = np.concatenate([self._scores(slice(a, a + ROWS), names, x, own, norm) for a in range(0, len(self.ids), ROWS)])
+        self._keep(exact, names)
+
+    def _scores(self, part: slice, names: np.ndarray, x: np.ndarray, own: list[np.ndarray], norm: np.ndarray) -> np.ndarray:
+        """Scores of the candidates that may be among the best k of a part of the queries; -inf for all others."""
+        slack = 1e-9 * (1 + norm + self.norm.max(initial=0))
+        queries, stats = self.queries[part], [s[part] for s in self.stats]
+        other = self.ids[part, None] != names[None, :]
+        exact = np.full(other.shape, -np.inf)
+        self.compared += other.size
+        # the candidates of the highest bounds among pairs come first
+        pairs = next(i for i, b in enumerate(self.levels) if np.diff(b).max() <= 2)
+        high = np.where(other, stats[pairs] @ own[pairs].T + slack, -np.inf)
+        most = min(len(names), 2 * self.k)
+        row = np.repeat(np.arange(len(high)), most)
+        col = np.argpartition(high, len(names) - most, axis=1)[:, len(names) - most :].ravel()
+        fine = other[row, col] & (high[row, col] >= self.least[part][row])
+        row, col = row[fine], col[fine]
+        exact[row, col] = self._products(queries, x, row, col)
+        self.survived += len(row)
+        least = np.maximum(self.least[part], self._kth(exact, names, row, col))
+        other[row, col] = False
+        q = c = None
+        for s, o in zip(stats, own):
+            if q is None:  # most are left: one product for all
+                other &= s @ o.T + slack >= least[:, None]
+                if np.count_nonzero(other) * 8 < other.size:
+                    q, c = np.nonzero(other)
+            else:
+                keep = self._products(s, o, q, c) + slack[c] >= least[q]
                 q, c = q[keep], c[keep]
         if q is None:
-            q, c = np.divmod(np.arange(len(self.ids) * len(names)), len(names))
-        self.compared += len(self.ids) * len(names)
+            q, c = np.nonzero(other)
         self.survived += len(q)
-        if len(q) * 4 < len(self.ids) * len(names):
-            exact = np.full((len(self.ids), len(names)), -np.inf)
-            exact[q, c] = np.einsum("ij,ij->i", self.queries[q], x[c])
-        else:
-            exact = self.queries @ x.T
-        exact[self.ids[:, None] == names[None, :]] = -np.inf
-        self._keep(exact, names)
-
-    def _slack(self, norm: np.ndarray) -> np.ndarray:
-        return 1e-9 * (1 + norm + self.norm.max(initial=0))
+        exact[q, c] = self._products(queries, x, q, c)
+        return exact
+
+    def _kth(self, exact: np.ndarray, names: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """The k-th best of the given scores, each name once; -inf where there are fewer names."""
+        if not len(row):
+            return np.full(len(exact), -np.inf)
+        order = np.lexsort((-exact[row, col], names[col], row))
+        row, col = row[order], col[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (names[col[1:]] != names[col[:-1]]))
+        row, score = row[new], exact[row[new], col[new]]
+        order = np.lexsort((-score, row))
+        row, score = row[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        out = np.full(len(exact), -np.inf)
+        at = place == self.k - 1
+        out[row[at]] = score[at]
+        return out
+
+    @staticmethod
+    def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Inner products of rows i of a with rows j of b; where most pairs are asked for, by one matrix product."""
+        if len(i) * 8 > len(a) * len(b):
+            return (a @ b.T)[i, j]
+        return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[i[k : k + 65536]], b[j[k : k + 65536]]) for k in range(0, len(i), 65536))])
 
     def _merge(self, exact: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One column for each name, with its best score; names kept so far that come again move to their column."""
@@ -146,33 +189,39 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: i
     Ties go to the smaller vec_id. Vectors that are null or empty, or hold a null or non-finite component, take no
     part, nor do rows without vec_id. Vectors of another length than a query's are not compared with it.
     Rows that repeat a vec_id are one candidate with the highest of their scores, and no candidate of
-    their own id; as queries each different vector is searched, and the best scores of the id count.
+    their own id; as queries each different vector is searched, and the best scores of the id count. Vectors may be of any length.
     """
     rows = written(scaled(vectors, scale), "vectors")
     asked = written(rows.where(is_query).select("vec_id", "v", F.size("v").alias("n")).distinct(), "queries")
     sizes = asked.groupBy("n").agg(F.count("*").alias("many")).collect()  # one row for each length of vector
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
-    found = spark.createDataFrame([], schema)
+    at = f"{shared_dir(spark)}/best-{uuid.uuid4().hex[:12]}"
+    spark.createDataFrame([], SCORES).write.parquet(at)
     for size in sizes:
+        candidates = rows.where(F.size("v") == size.n)
+        candidates = candidates if len(sizes) == 1 else written(candidates, "candidates")
         blocks = -(-size.many // block)
         dealt = asked.where(F.col("n") == size.n).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
         for b in range(blocks):
             part = dealt.where(F.col("block") == b).select("vec_id", "v").toArrow()  # about `block` rows
-            if not part.num_rows:
-                continue
-            shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _matrix(part["v"].combine_chunks())))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                one = Search(*shared.value, k)
-                for batch in batches:
-                    for at in range(0, batch.num_rows, STEP):
-                        own = batch.slice(at, STEP)
-                        one.add(own.column("vec_id").to_numpy(), _matrix(own.column("v")))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in one.rows()], names=["query_id", "vec_id", "score"])
-
-            found = found.unionByName(rows.where(F.size("v") == size.n).mapInArrow(run, schema))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            if part.num_rows:
+                _searched(candidates, part, k).write.mode("append").parquet(at)
+    best = spark.read.schema(SCORES).parquet(at).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(candidates: DataFrame, queries: pa.Table, k: int) -> DataFrame:
+    """(query_id, vec_id, score): for one block of queries the best k of each task's candidates."""
+    shared = candidates.sparkSession.sparkContext.broadcast((queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Search(*shared.value, k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                own = batch.slice(at, STEP)
+                one.add(own.column("vec_id").to_numpy(), _matrix(own.column("v")))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in one.rows()], names=["query_id", "vec_id", "score"])
+
+    return candidates.mapInArrow(run, SCORES)

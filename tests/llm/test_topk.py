@@ -82,3 +82,20 @@ def test_ids_that_repeat_over_steps():
             best[n] = max(best.get(n, s), s)
         want = sorted(best.items(), key=lambda y: (-y[1], y[0]))[:5]
         assert sorted(zip(*(a.tolist() for a in one.rows()[1:]))) == sorted((n, int(s)) for n, s in want)
+
+
+def test_random_vectors_are_pruned(spark):
+    """The table of random unit vectors, as the query reads it: well under half of the pairs come to an exact score."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding IS NOT NULL").select("vec_id", "embedding").collect()
+    ids = np.array([x.vec_id for x in rows])
+    x = np.floor(256 * np.array([x.embedding for x in rows], np.float64))
+    one = topk.Search(ids[ids % 50 == 0], x[ids % 50 == 0], 5)
+    for at in range(0, len(ids), topk.STEP):
+        one.add(ids[at : at + topk.STEP], x[at : at + topk.STEP])
+    assert one.survived < one.compared / 5
+    scores = (x[ids % 50 == 0] @ x.T).astype(np.int64)
+    want = []
+    for q, own in zip(ids[ids % 50 == 0].tolist(), scores):
+        order = np.lexsort((ids, -own))
+        want += [(q, int(ids[i]), int(own[i])) for i in [i for i in order if ids[i] != q][:5]]
+    assert sorted(zip(*(a.tolist() for a in one.rows()))) == sorted(want)
