@@ -1,19 +1,18 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every Arrow batch of documents is a shard with a suffix array over its words. Benchmark suffixes are
-binary-searched in it; neighbours in the array give the longest verbatim match and where it lies. A
-position whose next words are not all benchmark words can start no match, so the array holds only the
-others: with this it is small, and no match is lost.
-
-The benchmark reaches the tasks in blocks of bounded size (`block_bytes`), one broadcast after another, so
-what is broadcast does not grow with it; documents are read once for each block.
+Every Arrow batch of documents is a shard with a suffix array over its words. All benchmark suffixes that start a window
+are binary-searched in it: what begins with a suffix's window lies together, and where windows of one place follow each
+other they are one longer verbatim match. A position whose next words are not all benchmark words can
+start no match, so the array holds only the others: with this it is small, and no match is lost. Suffixes are ordered
+by their first `window` words, so both sides take some 4 * window bytes a word however long texts and items are.
+
+The benchmark reaches the tasks in blocks of bounded size (`block_bytes` of text, or one item), one broadcast after
+another, so what is broadcast does not grow with it; documents are read once for each block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from lodeseek.llm.common import ALNUM_TABLE, per_batch, text_column, texts, written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
-_END = b"\xff\xff\xff\xff"
+#: Text of the items that are broadcast at once: 2,000,000 words at most, of 50 bytes or so.
+BLOCK_BYTES = 4 << 20
 
 
 def words(text: bytes) -> list[bytes]:
@@ -34,66 +33,89 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM_TABLE).split()
 
 
+def _keys(numbers: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The `window` numbers from each place on as one string of bytes, which sorts as they do."""
+    padded = np.append(numbers, np.zeros(window, numbers.dtype)).astype(">u4")
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, window)[at]).view(f"S{4 * window}").ravel()
+
+
 class Suffixes:
-    """The benchmark's suffixes that start a window, as big-endian word numbers, in order."""
+    """The benchmark's suffixes that start a window, in order, with one entry for those that start with the same window.
+
+    Word numbers count from 1; a window shorter than `window`, of a short item, ends in zeros.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.window = window
-        starts: dict[bytes, list[tuple[str, int, int]]] = defaultdict(list)
-        self.longest = 0
-        for name, text in items:
-            own = words(text)
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own]
-            self.longest = max(self.longest, len(ids))
-            raw = np.array(ids, ">u4").tobytes()
-            need = min(window, len(ids))
-            for i in range(len(ids) - need + 1 if need else 0):
-                starts[raw[4 * i :]].append((name, i, need))
-        self.order = sorted(starts)
-        self.starts = starts
+        self.names, self.window = [name for name, _ in items], window
+        numbers, item, place, need = [], [], [], []
+        for k, (_, text) in enumerate(items):
+            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.uint32)
+            size = min(window, len(own))
+            numbers.append(np.append(own, np.zeros(window, np.uint32)))
+            starts = len(own) - size + 1 if size else 0
+            item.append(np.full(starts, k, np.int32))
+            place.append(np.arange(starts, dtype=np.int32))
+            need.append(np.full(starts, size, np.int32))
+        item, place, need = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (item, place, need))
+        first = np.cumsum([0, *map(len, numbers)])[:-1]
+        numbers = np.concatenate([np.zeros(0, np.uint32), *numbers])
+        keys = _keys(numbers, first[item] + place, window) if len(item) else np.zeros(0, f"S{4 * window}")
+        order = np.argsort(keys, kind="stable")
+        keys, item = keys[order], item[order]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        #: For each different window: its key, words, the item and word where it first stands, and where its items begin in `items`.
+        self.keys, self.need, self.item, self.place = keys[new], need[order][new], item[new], place[order][new]
+        ends = np.append(new[1:], len(keys))
+        once = np.append(True, (item[1:] != item[:-1])) if len(item) else np.zeros(0, bool)
+        once[new] = True
+        before = np.append(0, np.cumsum(once))
+        self.items, self.items_from, self.items_to = item[once], before[new], before[ends]
+        short = self.need < window
+        self.upper = self.keys.copy()
+        if short.any():
+            raw = self.keys[short].view(np.uint8).reshape(-1, window, 4).copy()
+            raw[np.arange(window)[None, :] >= self.need[short][:, None]] = 255
+            self.upper[short] = raw.reshape(-1, 4 * window).view(self.keys.dtype).ravel()
         #: For each word number, how many words the shortest window that starts with it has.
         self.least = np.full(len(self.vocabulary) + 1, np.iinfo(np.int32).max, np.int32)
-        for suffix, places in starts.items():
-            first = int.from_bytes(suffix[:4], "big")
-            self.least[first] = min(self.least[first], *(need for *_, need in places))
+        if len(item):
+            np.minimum.at(self.least, numbers[first[self.item] + self.place], self.need)
 
 
-def suffix_array(numbers: np.ndarray, least: np.ndarray, longest: int) -> tuple[list[bytes], np.ndarray]:
-    """(suffixes in order, where they start) of the positions that can start a match; numbers has -1 for any other word."""
+def suffix_array(numbers: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, where they start) of the positions that can start a match; numbers has 0 for a word that no item holds."""
     n = len(numbers)
-    known = numbers >= 0
+    known = numbers > 0
     breaks = np.append(np.flatnonzero(~known), n)
-    run = breaks[np.searchsorted(breaks, np.arange(n))] - np.arange(n)  # words up to the next unknown one
-    at = np.flatnonzero(known & (run >= least[numbers]))
-    raw = numbers.astype(">u4").tobytes()
-    ends = at + np.minimum(run[at], longest)
-    suffixes = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), ends.tolist())]
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    return [suffixes[i] for i in order], at[order]
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words that both begin with."""
-    n = min(len(a), len(b)) // 4
-    x = np.frombuffer(a, ">u4", n) != np.frombuffer(b, ">u4", n)
-    return int(x.argmax()) if x.any() else n
-
-
-def search(tests: Suffixes, array: list[bytes]) -> Iterator[tuple[int, int, str, int]]:
-    """(rank in the array, words matched, item, place in the item) for all longest matches of a window's length or more."""
-    for suffix in tests.order:
-        for need in {need for *_, need in tests.starts[suffix]}:
-            head = suffix[: 4 * need]
-            lo = bisect_left(array, head)
-            if lo == len(array) or not array[lo].startswith(head):
-                continue
-            hi = bisect_left(array, head + _END, lo)
-            places = [(name, i) for name, i, k in tests.starts[suffix] if k == need]
-            for rank in range(lo, hi):
-                length = _common(array[rank], suffix)
-                for name, i in places:
-                    yield rank, length, name, i
+    at = np.flatnonzero(known)
+    run = breaks[np.searchsorted(breaks, at)] - at  # words up to the next unknown one
+    at = at[run >= tests.least[numbers[at]]]
+    keys = _keys(numbers, at, tests.window) if len(at) else tests.keys[:0]
+    order = np.argsort(keys, kind="stable")
+    return keys[order], at[order]
+
+
+def search(tests: Suffixes, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, number of the window) of all windows that start there, by position. A position has one of each length at most."""
+    lo, hi = np.searchsorted(keys, tests.keys), np.searchsorted(keys, tests.upper, side="right")
+    n = np.maximum(hi - lo, 0)
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    position, which = at[rank], np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((which, position))
+    return position[order], which[order]
+
+
+def _lengths(position: np.ndarray, which: np.ndarray, tests: Suffixes) -> np.ndarray:
+    """Words that each match goes on for: to the end of the last of the windows of its item that follow each other."""
+    ahead = position - tests.place[which]
+    order = np.lexsort((position, ahead, tests.item[which], tests.need[which]))
+    p, a, i, k = position[order], ahead[order], tests.item[which][order], tests.need[which][order]
+    last = np.append((p[1:] != p[:-1] + 1) | (a[1:] != a[:-1]) | (i[1:] != i[:-1]) | (k[1:] != k[:-1]), True) if len(p) else np.zeros(0, bool)
+    end = (p + k)[last][np.cumsum(last) - last]
+    out = np.empty_like(p)
+    out[order] = end - p
+    return out
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -106,56 +128,67 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield [(r.item_id, r.text.encode()) for r in block.collect()]
 
 
+def _numbered(batch: pa.RecordBatch, tests: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers of all texts, each with a 0 after it; where each text begins and the last ends)."""
+    get = tests.vocabulary.get
+    parts, sizes = [], [0]
+    for text in texts(batch):
+        own = words(text)
+        parts += [np.fromiter(map(get, own, repeat(0)), np.uint32, len(own)), np.zeros(1, np.uint32)]
+        sizes.append(len(own) + 1)
+    return np.concatenate(parts), np.cumsum(sizes)
+
+
+MATCH = "array<struct<start int, length int, item_id string, item_start int>>"
+
+
 def _found(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
-    """(doc_id, text_key, n_words, matches) for every row: all longest matches of one block, left-maximal or not."""
-    tests = Suffixes(items, window)
-    shared = docs.sparkSession.sparkContext.broadcast(tests)
+    """(doc_id, text_key, n_words, matches, items) for every row: the matches of one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(Suffixes(items, window))
     kind = dict(docs.dtypes)["doc_id"]
     match = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item_id", pa.string()), ("item_start", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tests = shared.value
-        get = tests.vocabulary.get
-        counts, parts = [], []
-        for text in texts(batch):
-            own = words(text)
-            counts.append(len(own))
-            parts += [np.fromiter(map(get, own, repeat(-1)), np.int32, len(own)), np.array([-1], np.int32)]
-        numbers = np.concatenate(parts)
-        first = np.cumsum([0] + [n + 1 for n in counts])
-        array, at = suffix_array(numbers, tests.least, tests.longest)
-        found: list[list[tuple]] = [[] for _ in counts]
-        if array:
-            doc = np.searchsorted(first, at, side="right") - 1
-            for rank, length, name, i in search(tests, array):
-                d = int(doc[rank])
-                found[d].append((int(at[rank] - first[d]), length, name, i))
-        rows = [[{"start": s, "length": n, "item_id": name, "item_start": i} for s, n, name, i in sorted(own)] for own in found]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(rows, match)], names=["doc_id", "text_key", "n_words", "matches"])
+        numbers, first = _numbered(batch, tests)
+        position, which = search(tests, *suffix_array(numbers, tests))
+        length = _lengths(position, which, tests)
+        bounds = np.searchsorted(position, first)
+        rows, names = [], []
+        for d in range(batch.num_rows):
+            own = slice(bounds[d], bounds[d + 1])
+            w = which[own]
+            rows.append([{"start": s, "length": n, "item_id": tests.names[i], "item_start": p} for s, n, i, p in zip((position[own] - first[d]).tolist(), length[own].tolist(), tests.item[w].tolist(), tests.place[w].tolist())])
+            w = np.unique(w)
+            own = {i for a, b in zip(tests.items_from[w].tolist(), tests.items_to[w].tolist()) for i in tests.items[a:b].tolist()}
+            names.append(sorted({tests.names[i] for i in own}))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(first) - 1, pa.int64()), pa.array(rows, match), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text_key", "n_words", "matches", "items"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return per_batch(keyed, run, f"doc_id {kind}, text_key long, n_words long, matches array<struct<start int, length int, item_id string, item_start int>>")
+    return per_batch(keyed, run, f"doc_id {kind}, text_key long, n_words long, matches {MATCH}, items array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text_key, n_words, matches) for every row of docs(doc_id, text, ...).
+    """(doc_id, text_key, n_words, matches, items) for every row of docs(doc_id, text, ...).
 
-    matches lists where a benchmark suffix has a longest verbatim match that covers a window: start and
-    length in words of the document, item_id, and the item's word where it starts. Items of fewer words than
-    `window` count when they are matched whole. Null texts and items without words match nothing; an item
-    without item_id is named by the empty string. Repeated rows keep their rows.
+    matches lists the words where a benchmark window starts, in order: start and length of the verbatim match in words of
+    the document, item_id, and the item's word where it starts. Of several places of one window the first item's counts;
+    items names all items with a window in the document, sorted. Items of fewer words than `window` count when they are
+    matched whole. Null texts and items without words match nothing; an item without item_id is named by the
+    empty string. Repeated rows keep their rows. Texts and items may be of any length.
     """
     docs = text_column(docs.select("doc_id", "text"))
     found = [_found(docs, items, window) for items in _blocks(benchmark, block_bytes)]
     if len(found) == 1:
         return found[0]
-    base, rest = found[0], [f.where(F.size("matches") > 0).select("doc_id", "text_key", "matches").distinct() for f in found[1:]]
+    base, rest = found[0], [written(f.where(F.size("matches") > 0).select("doc_id", "text_key", "matches", "items").distinct(), "block") for f in found[1:]]
     more = rest[0]
     for f in rest[1:]:
         more = more.unionByName(f)
-    more = written(more.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("matches")).alias("more")), "matches")
+    more = written(more.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("matches")).alias("more"), F.flatten(F.collect_list("items")).alias("named")), "matches")
     same = base.alias("b").join(more.alias("m"), F.expr("b.doc_id <=> m.doc_id AND b.text_key = m.text_key"), "left")
-    return same.select("b.doc_id", "b.text_key", "n_words", F.concat("matches", F.coalesce("more", F.expr("filter(matches, x -> false)"))).alias("matches"))
+    joined = lambda a, b: F.concat(a, F.coalesce(b, F.expr(f"filter({a}, x -> false)")))
+    return same.select("b.doc_id", "b.text_key", "n_words", joined("matches", "more").alias("matches"), F.array_sort(F.array_distinct(joined("items", "named"))).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -164,16 +197,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hit, n_items, digest = [], [], []
-        for own in batch.column("matches").to_pylist():
+        for own, items in zip(batch.column("matches").to_pylist(), batch.column("items").to_pylist()):
             over, upto = 0, 0
             for m in sorted(own, key=lambda m: m["start"]):
                 end = m["start"] + m["length"]
                 over += max(0, end - max(upto, m["start"]))
                 upto = max(upto, end)
-            items = sorted({m["item_id"] for m in own})
             hit.append(over)
             n_items.append(len(items))
-            digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+            digest.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
         cols = [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([h > 0 for h in hit])]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
@@ -192,17 +224,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
 
         def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
             tests = shared.value
-            get = tests.vocabulary.get
-            parts, sizes = [], [0]
-            for text in texts(batch):
-                own = words(text)
-                parts += [np.fromiter(map(get, own, repeat(-1)), np.int32, len(own)), np.array([-1], np.int32)]
-                sizes.append(len(own) + 1)
-            array, at = suffix_array(np.concatenate(parts), tests.least, tests.longest)
-            doc = np.searchsorted(np.cumsum(sizes), at, side="right") - 1
+            numbers, first = _numbered(batch, tests)
+            position, _ = search(tests, *suffix_array(numbers, tests))
             keep = np.ones(batch.num_rows, bool)
-            if array:
-                keep[[int(doc[rank]) for rank, *_ in search(tests, array)]] = False
+            keep[np.searchsorted(first, position, side="right") - 1] = False
             yield batch.filter(pa.array(keep))
 
         docs = per_batch(docs.select(names), run, kinds)
