@@ -25,10 +25,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import per_batch, text_column
+from lodeseek.llm.common import per_batch, text_column, written
 
 #: Words of the dictionary, and labelled findings that a training reads at most.
 DICTIONARY_WORDS, MAX_FINDINGS = 20_000, 20_000
+#: Tasks that order the words which may be in the dictionary.
+SORTERS = 4
 TREES, DEPTH, SEED = 40, 8, 17
 BESIDE = 48
 #: Prefixes of public credential formats, names that credentials are assigned to, words that speak against one.
@@ -38,6 +40,8 @@ AGAINST = ("sha1", "sha256", "md5", "checksum", "digest", "commit", "uuid", "exa
 PLAIN_PATHS = ("test", "example", "doc", "sample", "lock", "fixture")
 ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{0,40})[\"']?[ \t]*(?:=|:=|:|=>)[ \t]*[\"']?([^\s\"'<>,;(){}\[\]]{8,})")
 BARE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}")
+#: Capital letters inside a string without digits.
+MIXED = re.compile("(?<=[a-z])[A-Z]")
 #: A value up to what ends it in a URL or connection string; and up to a further assignment, for values inside more than NESTED others.
 PART, INNER, NESTED = re.compile("[^&@#|]+"), re.compile("[^&@#|:=?]+"), 8
 #: The next field of a URL's query, which is in no value.
@@ -71,12 +75,28 @@ def corpus_statistics(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Corpus:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
 
     counts = per_batch(text_column(docs.select("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "words")
     is_pair = F.col("word").startswith("\0")
     table = np.ones((26, 26))
     for r in counts.where(is_pair).collect():  # 676 at most
         table[ord(r.word[1]) - 97, ord(r.word[2]) - 97] += r.n
-    top = counts.where(~is_pair).orderBy(F.desc("n"), "word").limit(words).collect()
-    return Corpus(np.log(table / table.sum(1, keepdims=True)), frozenset(r.word for r in top))
+    return Corpus(np.log(table / table.sum(1, keepdims=True)), frozenset(_most_frequent(counts.where(~is_pair), words)))
+
+
+def _most_frequent(counts: DataFrame, k: int) -> list[str]:
+    """The k words of counts(word, n) with the highest n.
+
+    How many words have about which n says from where on the k highest are, so that only words from there on are ordered, in
+    SORTERS tasks that send k words each at most.
+    """
+    about = F.floor(F.log2("n") * 64)  # 64 steps for each doubling: 4,096 rows at most
+    least, left = 0, k
+    for r in counts.groupBy(about.alias("about")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("about")).collect():
+        least, left = r.n, left - r.words
+        if left <= 0:
+            break
+    top = counts.where(F.col("n") >= least).coalesce(SORTERS).orderBy(F.desc("n"), "word").limit(k)
+    return [r.word for r in top.collect()]
 
 
 def covered(text: str, dictionary: frozenset[str]) -> tuple[float, int]:
@@ -126,7 +146,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     out = {}
     for m in BARE.finditer(text):
         s = m[0].rstrip(".=-/_+") or m[0]
-        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and len(s) >= 16:
+        if len(s) >= 16 and re.search("[A-Za-z]", s) and (re.search("[0-9]", s) or len(s) >= 20 and len(MIXED.findall(s)) >= 3):
             out[m.start(), m.start() + len(s)] = ""
     bare, level, outer = sorted(out), 0, -1
     at = 0

@@ -31,8 +31,6 @@ from lodeseek.llm.common import per_batch, text_column, written
 WORD = re.compile(r"[^\W_]+")
 #: Most labelled rows that training reads.
 SAMPLE_ROWS = 20_000
-#: Most terms of a lexicon: those with most evidence stay.
-MAX_TERMS = 4_000
 MIN_CONTEXTS, MIN_SHARE = 6, 0.7
 #: Share of toxic uses that a misspelled term is taken to have before any has been seen, and how many uses that weighs.
 FUZZY_SHARE, FUZZY_WEIGHT = 0.9, 2
@@ -238,17 +236,17 @@ def choose(toxic: dict[str, int], other: dict[str, int]) -> dict[tuple[str, int]
                 if k < len(bare):
                     explained[0][f"{bare[:k]}*"] += a
                     explained[1][f"{bare[:k]}*"] += max(0, b)
-    best = sorted(chosen, key=lambda t: (-chosen[t][0], t))[:MAX_TERMS]
-    return {(t, 0): (chosen[t][0] + 0.5) / (sum(chosen[t]) + 1) for t in best}
+    return {(t, 0): (a + 0.5) / (a + b + 1) for t, (a, b) in chosen.items()}
 
 
-def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression that pays `pull` for each squared step from PRIOR."""
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, pull: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression over rows that count n times, which pays `pull` for each squared step from PRIOR."""
     w = PRIOR.copy()
+    n = np.ones(len(y)) if n is None else n
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + pull * (w - PRIOR)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
+        slope = x.T @ (n * (p - y)) + pull * (w - PRIOR)
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w = w - step
         if np.abs(step).max() < 1e-9:
@@ -274,9 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     model = Model(share)
     model.share |= _misspelled(rows, model)
     points = _features(rows, model)
-    y = points[:, 0]
+    y, n = points[:, 0], points[:, 1]
     if len(y) and 0 < y.sum() < len(y):
-        model = Model(model.share, fit(points[:, 1:], y))
+        model = Model(model.share, fit(points[:, 2:], y, n))
     return Model(model.share, model.weights)
 
 
@@ -294,19 +292,21 @@ def _misspelled(rows: DataFrame, model: Model) -> dict[tuple[str, int], float]:
         yield pa.RecordBatch.from_pydict({"term": pa.array([x[0] for x in flat], pa.string()), "label": pa.array([x[1] for x in flat], pa.int32()), "word": pa.array([x[2] for x in flat], pa.string())})
 
     words = per_batch(rows, run, "term string, label int, word string").distinct()
-    counts = words.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).collect()  # MAX_TERMS at most
+    counts = words.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).collect()  # bounded by the sample
     return {(r.term, 1): (r.a + FUZZY_WEIGHT * FUZZY_SHARE) / (r.n + FUZZY_WEIGHT) for r in counts}
 
 
 def _features(rows: DataFrame, model: Model) -> np.ndarray:
+    """Rows of label, count and features: how many different texts of the sample have them."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = [shared.value.features(t or "").tolist() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array(x, pa.list_(pa.float64()))], names=["label", "key", "x"])
 
-    found = per_batch(rows, run, "label int, x array<double>").distinct().toPandas()  # sample_rows at most
-    return np.array([[r.label, *r.x] for r in found.itertuples()]).reshape(-1, 1 + len(PRIOR))
+    keyed = rows.select("label", F.xxhash64("text").alias("key"), "text")
+    found = per_batch(keyed, run, "label int, key long, x array<double>").distinct().groupBy("label", "x").agg(F.count("*").alias("n")).toPandas()  # sample_rows at most
+    return np.array([[r.label, r.n, *r.x] for r in found.itertuples()]).reshape(-1, 2 + len(PRIOR))
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
