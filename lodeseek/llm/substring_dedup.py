@@ -3,18 +3,18 @@
 A window of `window` words is removed where its word sequence also starts in a document with a smaller
 doc_id. Documents are not held against every shard. A window has a minimizer: the smallest hash among its
 word grams, so that equal windows have an equal minimizer. A document's minimizers are its anchors, and the
-words that windows around an anchor can cover are the anchor's segment. Only hashes of anchors and
-segments are grouped at first, and three things follow from them:
+words that windows around an anchor can cover are the anchor's segment. Hashes route segments and tell them apart:
 
 * an anchor of one document only lies in no repeated window and is done with;
-* a segment that a smaller doc_id holds word for word is removed whole (copies count once, for the smallest doc_id);
-* the segments that are left meet by anchor in shards. A shard is an FM-index over its segments. Each
-  segment is streamed from its end: a backward step reads one more word, and the match is held at
-  `window` words by widening it to the suffixes that begin with these words. The smallest doc_id among them says whether
-  the window is to go.
-
-An anchor with more than `capacity` different segments is not gathered: each window around it is keyed by a hash of
-its own words, which partial aggregates reduce to its smallest doc_id.
+* segments of one anchor with the same words (equal hashes of the gram and of the segment, 128 bits together) are one
+  segment, held by its smallest doc_id;
+* an anchor with more than `capacity` different segments is not gathered: each window around it that more than one
+  document holds is a segment of its own, under the window's hash.
+
+What is removed is decided by matching statistics. Different segments of an anchor meet in a shard, an FM-index over them.
+Each is streamed from its end: a backward step reads one more word, and the match is held at `window` words by
+widening it to the suffixes that begin with these words. The smallest doc_id among these says from which document on
+the window goes, for the segment's own document and for all that hold it word for word.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ SHARD_WORDS = 1 << 17
 CAPACITY = 1024
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 1 << 64)
+#: Segments with over a HEAVY-th of all rows, HEAVY at most of them, and over LEAST rows: what was decided about them is broadcast.
+HEAVY, LEAST = 2048, 1024
 #: Words whose hashes a worker remembers; the memory is emptied when full, which changes no result.
 REMEMBERED = 500_000
 
@@ -158,51 +160,53 @@ class FmIndex:
         base = self.below[word] - self.begin[word]
         return lo + base, hi + base
 
-    def repeated(self, segments: list[np.ndarray], doc_ids: np.ndarray) -> list[np.ndarray]:
-        """For each segment, where windows begin that also stand in a document with a smaller id."""
+    def least(self, segments: list[np.ndarray]) -> list[np.ndarray]:
+        """For each segment, from its first window on, the smallest id of a document that holds the window."""
         sizes = np.array([len(s) for s in segments])
         order = np.argsort(-sizes, kind="stable")
         most = int(sizes.max())
         table = np.zeros((most, len(segments)), np.int64)  # row t: the word that step t reads
         for j, i in enumerate(order.tolist()):
             table[: sizes[i], j] = segments[i][::-1]
-        own, left = doc_ids[order], sizes[order]
+        left = sizes[order]
         lo, hi = np.zeros(len(segments), np.int64), np.full(len(segments), self.size)
-        out: list[list[int]] = [[] for _ in segments]
+        found = np.zeros((len(segments), most), np.int64)
         for t in range(most):
             n = int(np.searchsorted(-left, -t))  # segments with a word left: sizes over t
             lo, hi = self.step(table[t, :n], lo[:n], hi[:n])
             if t >= self.window:
                 lo, hi = self.class_start[lo], self.class_end[lo]
             if t >= self.window - 1:
-                for j in np.flatnonzero((hi > lo) & (self.class_least[np.minimum(lo, self.size - 1)] < own[:n])).tolist():
-                    out[order[j]].append(int(left[j]) - 1 - t)
-        return [np.array(x[::-1], np.int64) for x in out]
-
-
-def _spans(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending window starts to the spans that they cover together."""
-    new = np.append(True, starts[1:] > starts[:-1] + window)
-    return starts[new], starts[np.append(new[1:], True)] + window
+                found[order[:n], t] = self.class_least[lo]
+        return [found[i, self.window - 1 : n][::-1] for i, n in enumerate(sizes.tolist())]
 
 
 def _search(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
-    """(doc_id, text_key, start, end) of what is to go, from rows(key, doc_id, text_key, start, words) sorted by key."""
+    """(key, seg, n, spans) from rows(key, seg, n, doc_id, words) sorted by key: the words [start, end) of each segment that go from documents with a larger id than `least`."""
+    spans = "array<struct<start int, end int, least long>>"
 
     def shard(held: list[tuple]) -> pa.RecordBatch:
         vocabulary: dict[bytes, int] = {}
         segments = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in r[4].split()], np.int64) for r in held]
-        doc_ids = np.array([r[1] for r in held], np.int64)
-        found = FmIndex(segments, doc_ids, len(vocabulary), window).repeated(segments, doc_ids)
-        out = [(r[1], r[2], r[3] + int(a), r[3] + int(b)) for r, starts in zip(held, found) if len(starts) for a, b in zip(*_spans(starts, window))]
-        cols = list(zip(*out)) if out else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "text_key", "start", "end"])
+        found = FmIndex(segments, np.array([r[3] for r in held], np.int64), len(vocabulary), window).least(segments)
+        sizes = np.array([len(x) for x in found])
+        low, ends = np.concatenate(found), np.cumsum(sizes)
+        new = np.append(True, low[1:] != low[:-1])
+        new[ends[:-1]] = True  # runs of windows with one least id
+        first = np.flatnonzero(new)
+        owner = np.searchsorted(ends, first, side="right")
+        start = first - (ends - sizes)[owner]
+        end = np.append(first[1:], len(low)) - (ends - sizes)[owner] + window - 1
+        offsets = np.searchsorted(owner, np.arange(len(held) + 1))
+        span = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(low[first])], names=["start", "end", "least"])
+        cols = [pa.array([r[k] for r in held], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), span)], names=["key", "seg", "n", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "start", "words"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "seg", "n", "doc_id", "words"))):
                 if size >= shard_words and row[0] != held[-1][0]:
                     yield shard(held)
                     held, size = [], 0
@@ -211,33 +215,40 @@ def _search(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
         if held:
             yield shard(held)
 
-    return rows.mapInArrow(run, "doc_id long, text_key long, start int, end int")
+    return rows.mapInArrow(run, f"key long, seg long, n long, spans {spans}")
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(key, hot, doc_id, text_key, start, words) of wanted(anchor, hot, doc_id, text_key, begin, size).
+def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text, own) of the documents of rows(doc_id, text_key, ...): own lists the other columns, of one document's segments."""
+    fields = [c for c in rows.columns if c not in ("doc_id", "text_key")]
+    by_doc = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*fields)).alias("own"))
+    return docs.join(by_doc.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.expr("doc_id = d AND text_key = k")).select("doc_id", "text_key", "text", "own")
 
-    A segment goes out under its anchor with its words, or, where the anchor is hot, as one row for each window under the window's hash.
-    """
-    by_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "hot", "begin", "size")).alias("own"))
-    met = docs.join(by_doc.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.expr("doc_id = d AND text_key = k")).select("doc_id", "text_key", "text", "own")
+
+def _windows(docs: DataFrame, rows: DataFrame, window: int) -> DataFrame:
+    """(key, doc_id, text_key, begin): every window that lies in the segments of rows(doc_id, text_key, begin, size), by its hash."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for doc_id, text_key, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts(batch), batch.column("own").to_pylist()):
+            at = np.unique(np.concatenate([np.arange(x["begin"], x["begin"] + x["size"] - window + 1) for x in own]))
+            key = Rolling(text.split()).of(at, at + window)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array([doc_id] * len(at), pa.int64()), pa.array([text_key] * len(at), pa.int64()), pa.array(at.astype(np.int32))], names=["key", "doc_id", "text_key", "begin"])
+
+    # rows that repeat a document hold the same text
+    return per_batch(_with_text(docs, rows), run, "key long, doc_id long, text_key long, begin int").distinct()
+
+
+def _words(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, seg, n, doc_id, words) of rows(key, seg, n, doc_id, text_key, begin, size)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for doc_id, key, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts(batch), batch.column("own").to_pylist()):
+        for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("own").to_pylist()):
             words = text.split()
-            cold = [(x["anchor"], x["begin"], b" ".join(words[x["begin"] : x["begin"] + x["size"]])) for x in own if not x["hot"]]
-            keys, starts, held = (list(x) for x in zip(*cold)) if cold else ([], [], [])
-            n = len(keys)
-            if n < len(own):
-                at = np.unique(np.concatenate([np.arange(x["begin"], x["begin"] + x["size"] - window + 1) for x in own if x["hot"]]))
-                keys += signed(Rolling(words).of(at, at + window)).tolist()
-                starts += at.tolist()
-                held += [None] * len(at)
-            m = len(keys)
-            cols = [pa.array(keys, pa.int64()), pa.array([False] * n + [True] * (m - n)), pa.array([doc_id] * m, pa.int64()), pa.array([key] * m, pa.int64()), pa.array(starts, pa.int32()), pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "hot", "doc_id", "text_key", "start", "words"])
+            held = [b" ".join(words[x["begin"] : x["begin"] + x["size"]]) for x in own]
+            cols = [pa.array([x[c] for x in own], pa.int64()) for c in ("key", "seg", "n")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([doc_id] * len(own), pa.int64()), pa.array(held, pa.binary())], names=["key", "seg", "n", "doc_id", "words"])
 
-    return per_batch(met, run, "key long, hot boolean, doc_id long, text_key long, start int, words binary")
+    return per_batch(_with_text(docs.dropDuplicates(["doc_id", "text_key"]), rows), run, "key long, seg long, n long, doc_id long, words binary")
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -247,20 +258,25 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, capacity: int
     found = written(anchors(docs, window, gram), "anchors")
     ids = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = written(ids.where("low < high").select("anchor"), "shared")
-    rows = written(found.join(shared, "anchor"), "repeated")
-    first = written(rows.groupBy("anchor", "seg").agg(F.min("doc_id").alias("low")), "segments")
-    many = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > capacity).alias("many"))
-    copies = rows.join(first, ["anchor", "seg"]).where("doc_id > low").select("doc_id", "text_key", F.col("begin").alias("start"), (F.col("begin") + F.col("size")).alias("end"))
-    firsts = written(rows.join(first, ["anchor", "seg"]).where("doc_id = low").drop("low", "seg").join(written(many, "many"), "anchor"), "firsts")
-    # a document that repeats itself may bring more rows than there are segments
-    full = firsts.groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", (F.col("n") > capacity).alias("full"))
-    wanted = firsts.join(written(full, "full"), "anchor").withColumn("hot", F.col("many") | F.col("full"))
-    parts = written(_segments(docs, wanted, window), "parts")
-    cold = parts.where("NOT hot").select("key", "doc_id", "text_key", "start", "words").repartition(shuffle_parts(docs), "key").sortWithinPartitions("key", "doc_id", "start")
-    hot = parts.where("hot").select("key", "doc_id", "text_key", "start")
-    least = written(hot.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"), "windows")
-    late = hot.join(least, "key").where("doc_id > low").select("doc_id", "text_key", "start", (F.col("start") + window).alias("end"))
-    return copies.unionByName(_search(cold, window, shard_words)).unionByName(late)
+    rows = written(found.join(shared, "anchor").withColumnRenamed("anchor", "key"), "repeated")
+    first, count = F.min(F.struct("doc_id", "text_key", "begin", "size")).alias("first"), F.count("*").alias("n")
+    segments = written(rows.groupBy("key", "seg").agg(first, count), "segments")
+    hot = written(segments.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > capacity).select("key"), "hot")
+    windows = written(_windows(docs, rows.join(hot, "key", "left_semi"), window), "windows")
+    of_hot = windows.withColumn("size", F.lit(window)).groupBy("key").agg(first, count, F.max("doc_id").alias("high")).where("first.doc_id < high")
+    of_hot = written(of_hot.select("key", F.col("key").alias("seg"), "first", "n"), "window-segments")
+    wanted = segments.join(hot, "key", "left_anti").unionByName(of_hot).select("key", "seg", "n", "first.*")
+    parts = _words(docs, wanted).repartition(shuffle_parts(docs), "key").sortWithinPartitions("key", "doc_id", "seg")
+    decided = written(_search(parts, window, shard_words), "decided")
+    held = rows.join(hot, "key", "left_anti").select("key", "seg", "doc_id", "text_key", "begin")
+    held = held.unionByName(windows.join(of_hot.select("key"), "key", "left_semi").select("key", F.col("key").alias("seg"), "doc_id", "text_key", "begin"))
+    most = max(LEAST, (rows.count() + windows.count()) // HEAVY)
+    heavy = decided.where(F.col("n") > most).select("key", "seg", F.col("spans").alias("heavy"))
+    marked = held.join(F.broadcast(heavy), ["key", "seg"], "left")  # HEAVY rows at most
+    light = marked.where("heavy IS NULL").drop("heavy").join(decided.where(F.col("n") <= most).select("key", "seg", "spans"), ["key", "seg"])
+    met = light.unionByName(marked.where("heavy IS NOT NULL").withColumnRenamed("heavy", "spans"))
+    late = met.select("doc_id", "text_key", "begin", F.explode(F.filter("spans", lambda x: x.least < F.col("doc_id"))).alias("x"))
+    return late.select("doc_id", "text_key", (F.col("begin") + F.col("x.start")).alias("start"), (F.col("begin") + F.col("x.end")).alias("end"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS) -> DataFrame:
