@@ -8,8 +8,8 @@ words that windows around an anchor can cover are the anchor's segment. Hashes r
 * an anchor of one document only lies in no repeated window and is done with;
 * segments of one anchor with the same words (equal hashes of the gram and of the segment, 128 bits together) are one
   segment, held by its smallest doc_id;
-* an anchor with more than `capacity` different segments is not gathered: each window around it that more than one
-  document holds is a segment of its own, under the window's hash.
+* an anchor with more than `capacity` different segments is not gathered: each of them that has copies is routed by itself,
+  and each window in two of them is a segment of its own, under the window's hash.
 
 What is removed is decided by matching statistics. Different segments of an anchor meet in a shard, an FM-index over them.
 Each is streamed from its end: a backward step reads one more word, and the match is held at `window` words by
@@ -262,14 +262,17 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, capacity: int
     first, count = F.min(F.struct("doc_id", "text_key", "begin", "size")).alias("first"), F.count("*").alias("n")
     segments = written(rows.groupBy("key", "seg").agg(first, count), "segments")
     hot = written(segments.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > capacity).select("key"), "hot")
-    windows = written(_windows(docs, rows.join(hot, "key", "left_semi"), window), "windows")
-    of_hot = windows.withColumn("size", F.lit(window)).groupBy("key").agg(first, count, F.max("doc_id").alias("high")).where("first.doc_id < high")
-    of_hot = written(of_hot.select("key", F.col("key").alias("seg"), "first", "n"), "window-segments")
-    wanted = segments.join(hot, "key", "left_anti").unionByName(of_hot).select("key", "seg", "n", "first.*")
-    parts = _words(docs, wanted).repartition(shuffle_parts(docs), "key").sortWithinPartitions("key", "doc_id", "seg")
+    of_hot = segments.join(hot, "key", "left_semi")
+    windows = written(_windows(docs, of_hot.select("first.*"), window), "windows")
+    twice = windows.withColumn("size", F.lit(window)).groupBy("key").agg(first, count, F.max("doc_id").alias("high")).where("first.doc_id < high")
+    twice = written(twice.select("key", F.col("key").alias("seg"), "first", "n"), "window-segments")
+    alone = F.xxhash64("key", "seg").alias("key")
+    wanted = segments.join(hot, "key", "left_anti").select("key", "seg", "first", "n").unionByName(of_hot.where("n > 1").select(alone, "seg", "first", "n")).unionByName(twice)
+    parts = _words(docs, wanted.select("key", "seg", "n", "first.*")).repartition(shuffle_parts(docs), "key").sortWithinPartitions("key", "doc_id", "seg")
     decided = written(_search(parts, window, shard_words), "decided")
-    held = rows.join(hot, "key", "left_anti").select("key", "seg", "doc_id", "text_key", "begin")
-    held = held.unionByName(windows.join(of_hot.select("key"), "key", "left_semi").select("key", F.col("key").alias("seg"), "doc_id", "text_key", "begin"))
+    place = ["seg", "doc_id", "text_key", "begin"]
+    held = rows.join(hot.withColumn("hot", F.lit(True)), "key", "left").select(F.when(F.col("hot"), alone).otherwise(F.col("key")).alias("key"), *place)
+    held = held.unionByName(windows.join(twice.select("key"), "key", "left_semi").withColumn("seg", F.col("key")).select("key", *place))
     most = max(LEAST, (rows.count() + windows.count()) // HEAVY)
     heavy = decided.where(F.col("n") > most).select("key", "seg", F.col("spans").alias("heavy"))
     marked = held.join(F.broadcast(heavy), ["key", "seg"], "left")  # HEAVY rows at most
