@@ -1,13 +1,19 @@
-"""Reciprocal rank fusion of two complete rankings, and the hybrid search built on it."""
+"""Reciprocal rank fusion of two complete rankings, and the hybrid search built on it.
+
+The first k of the fusion of two complete rankings need only the heads of both. The first k chunks of either ranking have 1 / (c + k)
+at least, c being the fusion's constant. A chunk beyond rank d in both has less than 2 / (c + d), so with d = c + 2 * k no
+such chunk is among the first k. Chunks of one head alone get their rank in the other ranking by counting who is ahead of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.ranking import ranked
+from lodeseek.functions.ranking import PLACES, ranked
 from lodeseek.operators import vector
 from lodeseek.operators.lexical import LexicalIndex
+from lodeseek.sources.tables import written
 
 RRF_K = 60
 
@@ -29,13 +35,16 @@ def check(ranking: DataFrame) -> None:
         raise ValueError(f"not a ranking: {found}")
 
 
-def fuse(first: DataFrame, second: DataFrame, k: int | None = 10, rrf_k: int = RRF_K, names: tuple[str, str] = ("vector", "bm25")) -> DataFrame:
+def fuse(first: DataFrame, second: DataFrame, k: int | None = 10, rrf_k: int = RRF_K, names: tuple[str, str] = ("vector", "bm25"), checked: bool = False) -> DataFrame:
     """(query_id, rank, chunk_id, rrf_score, then rank, raw_score and contribution of each side) of the union of two rankings.
 
-    A side that lacks a chunk gives a null rank and score and adds 0.
+    A side that lacks a chunk gives a null rank and score and adds 0. Rankings that break a rule of faults() are an
+    error, unless the caller has `checked` that they cannot.
     """
     if rrf_k <= 0:
         raise ValueError("rrf_k must be positive")
+    for ranking in () if checked else (first, second):
+        check(ranking)
     a, b = (r.select("query_id", "chunk_id", F.col("rank").alias(f"{n}_rank"), F.col("score").alias(f"{n}_raw_score")) for r, n in zip((first, second), names))
     both = a.join(b, ["query_id", "chunk_id"], "full")
     for n in names:
@@ -45,11 +54,44 @@ def fuse(first: DataFrame, second: DataFrame, k: int | None = 10, rrf_k: int = R
     return ranked(scored, "rrf_score", "chunk_id", k=k).select("query_id", "rank", "chunk_id", "rrf_score", *sides)
 
 
+def _ranks(scores: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(query_id, chunk_id, score) with the rank that each has among scores: those ahead are counted, nothing is sorted."""
+    low = lambda c: F.bround(F.col(c), PLACES)
+    other = scores.select("query_id", F.col("chunk_id").alias("other"), low("score").alias("other_score"))
+    ahead = (F.col("other_score") > low("score")) | (F.col("other_score") == low("score")) & (F.col("other") < F.col("chunk_id"))
+    keys = ["query_id", "chunk_id", "score"]
+    counted = other.join(asked.select(*keys), "query_id").where(ahead).groupBy(*keys).agg(F.count("*").alias("ahead"))
+    met = asked.select(*keys).join(counted.drop("score"), ["query_id", "chunk_id"], "left")
+    return met.select(*keys, (F.coalesce("ahead", F.lit(0)) + 1).cast("int").alias("rank"))
+
+
 def hybrid(index: LexicalIndex, embeddings: DataFrame, queries: DataFrame, k: int | None = 10, rrf_k: int = RRF_K) -> DataFrame:
-    """fuse() of the full vector ranking and of all chunks with a lexical score, for queries(query_id, query_text, embedding)."""
-    by_vector = vector.search(embeddings, queries.select("query_id", "embedding"), None)
-    by_terms = index.search(queries.select("query_id", "query_text"), None)
-    return fuse(by_vector, by_terms, k, rrf_k)
+    """fuse() of the full vector ranking and of all chunks with a lexical score, for queries(query_id, query_text, embedding).
+
+    With k the complete rankings are not made: see above. A query's candidates are 2 * (rrf_k + 2 * k) chunks at most.
+    """
+    asked, words = queries.select("query_id", "embedding"), queries.select("query_id", "query_text")
+    if k is None:
+        return fuse(vector.search(embeddings, asked, None), index.search(words, None), None, rrf_k, checked=True)
+    if k <= 0 or rrf_k <= 0:
+        raise ValueError("k and rrf_k must be positive")
+    depth, key = rrf_k + 2 * k, ["query_id", "chunk_id"]
+    vectors, postings = (lambda few: vector.scores(few, asked)), (lambda few: few.scores(words))
+    heads = [written(ranked(s, "score", "chunk_id", k=depth).select(*key, "rank", "score")) for s in (vectors(embeddings), postings(index))]
+    known = [h.select(*key, (1 / (rrf_k + F.col("rank"))).alias(f"part_{i}")) for i, h in enumerate(heads)]
+    both = known[0].join(known[1], key, "full").na.fill(0.0, ["part_0", "part_1"])
+    least = ranked(both.withColumn("sure", F.col("part_0") + F.col("part_1")), "sure", "chunk_id", k=k).groupBy("query_id").agg(F.min("sure").alias("least"), F.count("*").alias("n"))
+    most = F.col("part_0") + F.col("part_1") + F.when((F.col("part_0") == 0) | (F.col("part_1") == 0), F.lit(1 / (rrf_k + depth + 1))).otherwise(F.lit(0.0))
+    left = written(both.join(least, "query_id").where((F.col("n") < k) | (most > F.col("least") - 1e-9)).select(*key, "part_0", "part_1"))
+    sides = []
+    for i, (head, scores) in enumerate(zip(heads, (vectors, postings))):
+        missing = written(left.where(F.col(f"part_{i}") == 0).select(*key))
+        ids = missing.select("chunk_id").distinct()
+        few = embeddings.join(ids, "chunk_id", "left_semi") if i == 0 else index.of_chunks(ids)
+        scored = written(scores(few).join(missing, key, "left_semi"))
+        own = _ranks(scores(embeddings if i == 0 else index), scored)
+        sides.append(head.join(left.select(*key), key, "left_semi").select(*key, "rank", "score").unionByName(own.select(*key, "rank", "score")))
+    return fuse(*sides, k, rrf_k, checked=True)
 
 
 def with_chunks(ranking: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def validation(rows: DataFrame) -> DataFrame:
     return out.select("n_vectors", "dimension", (F.col("least") == F.col("dimension")).alias("one_size"), "n_not_finite", "n_not_unit")
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int | None = 10, block: int = 2048) -> DataFrame:
-    """(query_id, rank, chunk_id, score) of rows(chunk_id, embedding) for queries(query_id, embedding): all rows are scored.
+def scores(rows: DataFrame, queries: DataFrame, block: int = 2048) -> DataFrame:
+    """(query_id, chunk_id, score) of all rows(chunk_id, embedding) for queries(query_id, embedding).
 
     Queries meet the rows in blocks of about `block` of them, each broadcast (block times the dimension in doubles at most).
     """
@@ -45,9 +45,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int | None = 10, block: int =
         part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
         part = part.select("query_id", F.col("embedding").alias("asked"))
         pairs = rows.select("chunk_id", "embedding").crossJoin(F.broadcast(part)).where(F.size("embedding") == F.size("asked"))
-        scored = ranked(pairs.select("query_id", "chunk_id", V.dot(F.col("embedding"), F.col("asked")).alias("score")), "score", "chunk_id", k=k)
+        scored = pairs.select("query_id", "chunk_id", V.dot(F.col("embedding"), F.col("asked")).alias("score"))
         found = scored if found is None else found.unionByName(scored)
-    return found.select("query_id", "rank", "chunk_id", "score")
+    return found
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int | None = 10, block: int = 2048) -> DataFrame:
+    """(query_id, rank, chunk_id, score) of the first k of scores(); k None: all rows."""
+    return ranked(scores(rows, queries, block), "score", "chunk_id", k=k).select("query_id", "rank", "chunk_id", "score")
 
 
 class Embedder(ABC):

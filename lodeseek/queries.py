@@ -37,8 +37,17 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build(texts(spark, sf_dir), tables.workspace(spark))
+    """The index of a folder's documents, built once in a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _BUILT:
+        at = tables.workspace(spark)
+        lexical.build(texts(spark, sf_dir), at)
+        _BUILT[key] = at
+    return lexical.load(spark, _BUILT[key])
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -168,7 +177,7 @@ def rounded(rows: DataFrame, *names: str) -> DataFrame:
 @query(f"WITH t AS (SELECT doc_id, {_tokens('text')} AS t FROM documents) SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_terms, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM t")
 def tokenize_counts(spark, sf_dir):
     t = T.tokens(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
+    return lexical.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
 
 
 @query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms")

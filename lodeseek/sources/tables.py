@@ -46,3 +46,10 @@ def workspace(spark: SparkSession) -> str:
         at = tempfile.mkdtemp(prefix="spark-lodeseek-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/tables/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there."""
+    path = f"{workspace(rows.sparkSession)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
