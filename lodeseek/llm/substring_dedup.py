@@ -225,30 +225,44 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(by_doc.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.expr("doc_id = d AND text_key = k")).select("doc_id", "text_key", "text", "own")
 
 
-def _windows(docs: DataFrame, rows: DataFrame, window: int) -> DataFrame:
-    """(key, doc_id, text_key, begin): every window that lies in the segments of rows(doc_id, text_key, begin, size), by its hash."""
+def _words(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, seg, n, doc_id, text_key, begin, words) of rows(key, seg, n, doc_id, text_key, begin, size)."""
+    kept = ["key", "seg", "n", "begin"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for doc_id, text_key, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts(batch), batch.column("own").to_pylist()):
-            at = np.unique(np.concatenate([np.arange(x["begin"], x["begin"] + x["size"] - window + 1) for x in own]))
-            key = Rolling(text.split()).of(at, at + window)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array([doc_id] * len(at), pa.int64()), pa.array([text_key] * len(at), pa.int64()), pa.array(at.astype(np.int32))], names=["key", "doc_id", "text_key", "begin"])
+            words = text.split()
+            held = [b" ".join(words[x["begin"] : x["begin"] + x["size"]]) for x in own]
+            cols = [pa.array([x[c] for x in own], pa.int32() if c == "begin" else pa.int64()) for c in kept]
+            cols += [pa.array([k] * len(own), pa.int64()) for k in (doc_id, text_key)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(held, pa.binary())], names=[*kept, "doc_id", "text_key", "words"])
 
-    # rows that repeat a document hold the same text
-    return per_batch(_with_text(docs, rows), run, "key long, doc_id long, text_key long, begin int").distinct()
+    twice = docs.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    once = docs if twice.isEmpty() else docs.dropDuplicates(["doc_id", "text_key"])
+    return per_batch(_with_text(once, rows), run, "key long, seg long, n long, begin int, doc_id long, text_key long, words binary")
 
 
-def _words(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key, seg, n, doc_id, words) of rows(key, seg, n, doc_id, text_key, begin, size)."""
+def _windows(parts: DataFrame, window: int) -> DataFrame:
+    """(key, doc_id, text_key, begin, segment, seg, place): every window of the segments parts(key, seg, doc_id, text_key, begin, words), by its hash.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("own").to_pylist()):
-            words = text.split()
-            held = [b" ".join(words[x["begin"] : x["begin"] + x["size"]]) for x in own]
-            cols = [pa.array([x[c] for x in own], pa.int64()) for c in ("key", "seg", "n")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([doc_id] * len(own), pa.int64()), pa.array(held, pa.binary())], names=["key", "seg", "n", "doc_id", "words"])
+    Where segments of a document overlap, a window is named by one of them: the segment's key and seg, and the window's place there.
+    """
 
-    return per_batch(_with_text(docs.dropDuplicates(["doc_id", "text_key"]), rows), run, "key long, seg long, n long, doc_id long, words binary")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        which, keys, places = [], [], []
+        for i, words in enumerate(batch.column("words").to_pylist()):
+            own = words.split()
+            at = np.arange(len(own) - window + 1)
+            which.append(np.full(len(at), i))
+            keys.append(signed(Rolling(own).of(at, at + window)))
+            places.append(at.astype(np.int32))
+        which, place = pa.array(np.concatenate(which)), np.concatenate(places)
+        begin = batch.column("begin").take(which).to_numpy() + place
+        cols = [pa.array(np.concatenate(keys)), *(batch.column(c).take(which) for c in ("doc_id", "text_key")), pa.array(begin), *(batch.column(c).take(which) for c in ("key", "seg")), pa.array(place)]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "text_key", "begin", "segment", "seg", "place"])
+
+    made = per_batch(parts, run, "key long, doc_id long, text_key long, begin int, segment long, seg long, place int")
+    return made.groupBy("key", "doc_id", "text_key", "begin").agg(F.min(F.struct("segment", "seg", "place")).alias("x")).select("key", "doc_id", "text_key", "begin", "x.*")
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -262,13 +276,19 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, capacity: int
     first, count = F.min(F.struct("doc_id", "text_key", "begin", "size")).alias("first"), F.count("*").alias("n")
     segments = written(rows.groupBy("key", "seg").agg(first, count), "segments")
     hot = written(segments.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > capacity).select("key"), "hot")
-    of_hot = segments.join(hot, "key", "left_semi")
-    windows = written(_windows(docs, of_hot.select("first.*"), window), "windows")
-    twice = windows.withColumn("size", F.lit(window)).groupBy("key").agg(first, count, F.max("doc_id").alias("high")).where("first.doc_id < high")
-    twice = written(twice.select("key", F.col("key").alias("seg"), "first", "n"), "window-segments")
+    every = written(_words(docs, segments.select("key", "seg", "n", "first.*")), "parts")
+    of_hot = every.join(hot, "key", "left_semi")
+    windows = written(_windows(of_hot, window), "windows")
+    holder = F.min(F.struct("doc_id", "text_key", "begin", "segment", "seg", "place")).alias("first")
+    twice = windows.groupBy("key").agg(holder, count, F.max("doc_id").alias("high")).where("first.doc_id < high").drop("high")
+    twice = written(twice, "window-segments")
     alone = F.xxhash64("key", "seg").alias("key")
-    wanted = segments.join(hot, "key", "left_anti").select("key", "seg", "first", "n").unionByName(of_hot.where("n > 1").select(alone, "seg", "first", "n")).unionByName(twice)
-    parts = _words(docs, wanted.select("key", "seg", "n", "first.*")).repartition(shuffle_parts(docs), "key").sortWithinPartitions("key", "doc_id", "seg")
+    part = ["key", "seg", "n", "doc_id", "words"]
+    named = twice.select(F.col("key").alias("window"), F.col("n").alias("many"), F.col("first.segment").alias("key"), "first.seg", "first.place")
+    cut = F.encode(F.array_join(F.slice(F.split(F.decode("words", "UTF-8"), " "), F.col("place") + 1, window), " "), "UTF-8")
+    of_windows = of_hot.join(named, ["key", "seg"]).select(F.col("window").alias("key"), F.col("window").alias("seg"), F.col("many").alias("n"), "doc_id", cut.alias("words"))
+    parts = every.join(hot, "key", "left_anti").select(*part).unionByName(of_hot.where("n > 1").select(alone, *part[1:])).unionByName(of_windows)
+    parts = parts.repartition(shuffle_parts(docs), "key").sortWithinPartitions("key", "doc_id", "seg")
     decided = written(_search(parts, window, shard_words), "decided")
     place = ["seg", "doc_id", "text_key", "begin"]
     held = rows.join(hot.withColumn("hot", F.lit(True)), "key", "left").select(F.when(F.col("hot"), alone).otherwise(F.col("key")).alias("key"), *place)
