@@ -522,11 +522,12 @@ def eval_summary(spark, sf_dir):
 
 @query()
 def structural_units(spark, sf_dir):
-    """Conversations as Python files of one function a turn, cut into units."""
+    """Conversations as Python files of one function a turn, 64 turns a file, cut into units."""
+    part = F.floor(F.col("turn") / 64).cast("string")
     name = F.concat(F.lit("turn_"), F.col("turn").cast("string"))
     body = F.concat(F.lit("def "), name, F.lit("():\n    return "), F.to_json(F.struct("text")), F.lit("\n\n"))
-    own = table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", body.alias("t")))).alias("b"))
-    files = own.select(F.lit("talks").alias("repository"), F.lit(None).cast("string").alias("commit_hash"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".py")).alias("file_path"), F.lit("Python").alias("language"), F.lit(".py").alias("extension"), F.array_join(F.transform("b", lambda x: x.t), "").alias("text"))
+    own = table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", body.alias("t")))).alias("b"))
+    files = own.select(F.lit("talks").alias("repository"), F.lit(None).cast("string").alias("commit_hash"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("part"), F.lit(".py")).alias("file_path"), F.lit("Python").alias("language"), F.lit(".py").alias("extension"), F.array_join(F.transform("b", lambda x: x.t), "").alias("text"))
     return chunking.chunk_files(files).drop("content")
 
 
