@@ -22,9 +22,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import bits_set, group_bounds, per_batch, shuffle_parts, signed, text_column, texts, written
@@ -36,6 +37,10 @@ MAX_DISTANCE = 2
 PIECES = 2
 #: Most fingerprints that one shard compares in memory.
 CAPACITY = 4096
+#: Words of a shingle, bits and bit ranges of a search for near copies by shingle sets.
+SET_SHINGLE, SET_DISTANCE, SET_PIECES = 5, 7, 4
+#: Documents of one component that are settled among themselves before the others meet them.
+HEADS = 64
 #: Names for a document's id and text hash beside whatever columns a table has.
 KEPT_ID, KEPT_KEY = "__kept_doc_id", "__kept_text_key"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -278,17 +283,96 @@ def near_dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle: int =
     return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *keep)
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
+def shingle_set(text: bytes, shingle: int = SET_SHINGLE) -> np.ndarray:
+    """The different XXH64 values of a text's word shingles, in order; one value for fewer words, none for no word."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """(*keep, shingles array<long>) of docs(text, *keep)."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [signed(shingle_set(t, shingle)) for t in texts(batch)]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(sets, pa.list_(pa.int64()))], names=[*keep, "shingles"])
+
+    kinds = dict(docs.dtypes)
+    return per_batch(docs.select("text", *keep), run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "shingles array<long>"]))
+
+
+def leaders(members: DataFrame, max_distance: int, similarity: float) -> DataFrame:
+    """(doc_id, text_key) of the members(component, doc_id, text_key, fp, shingles) that no earlier leader is linked with.
+
+    Two are linked if their fingerprints differ by max_distance bits at most and the Jaccard similarity of their sets is
+    `similarity` or more (two empty sets: 1). In order of doc_id and text_key, a member without a link to a leader is
+    one. A round settles the first HEADS members of each component among themselves and drops what is linked with
+    their leaders from the rest, so a large component is never gathered; the rounds follow the component with the most members left.
+    """
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["doc_id", "text_key"], kind="stable")
+        sets = [np.asarray(x, np.int64) for x in group["shingles"]]
+        fp = group["fp"].to_numpy(np.int64)
+        kept: list[int] = []
+        for i, own in enumerate(sets):
+            near = np.flatnonzero(bits_set((fp[kept] ^ fp[i]).view(np.uint64)) <= max_distance)
+            for j in near.tolist():
+                other = sets[kept[j]]
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both >= similarity * (len(own) + len(other) - both):
+                    break
+            else:
+                kept.append(i)
+        return group.iloc[kept]
+
+    first = Window.partitionBy("component").orderBy("doc_id", "text_key")
+    found, left = [], members
+    while not left.isEmpty():
+        heads = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HEADS).drop("place")
+        heads = written(heads, "heads")
+        ahead = written(heads.groupBy("component").applyInPandas(settle, members.schema), "leaders")
+        found.append(ahead.select("doc_id", "text_key"))
+        last = heads.groupBy("component").agg(F.max(F.struct("doc_id", "text_key")).alias("last"), F.count("*").alias("n")).where(F.col("n") == HEADS).select("component", "last")
+        rest = left.join(last, "component").where(F.struct("doc_id", "text_key") > F.col("last")).drop("last").alias("m")
+        both = F.size(F.array_intersect("m.shingles", "l.shingles"))
+        linked_ = (F.bit_count(F.col("m.fp").bitwiseXOR(F.col("l.fp"))) <= max_distance) & (both >= similarity * (F.size("m.shingles") + F.size("l.shingles") - both))
+        left = written(rest.join(ahead.alias("l"), (F.col("m.component") == F.col("l.component")) & linked_, "left_anti"), "rest")
+    kept = found[0] if found else members.select("doc_id", "text_key")
+    for more in found[1:]:
+        kept = kept.unionByName(more)
+    return kept
+
+
+def keep_first(docs: DataFrame, similarity: float | None = None, words: int = SET_SHINGLE, max_distance: int = MAX_DISTANCE, **how) -> DataFrame:
     """docs with one document of each group of linked fingerprints: the one with the smallest doc_id.
 
+    With `similarity` the fingerprints only find candidates: a document goes if it is linked, as leaders() says for
+    sets of shingles of `words` words, with one that stays and comes before it. So each document that goes is that similar
+    to one that stays, and no two that stay are linked.
+
     Documents are told apart by doc_id and text: where different texts share a doc_id, each stays or goes with
     its own group, and within a group the one with the smaller text hash is first. Rows that repeat doc_id and
     text are one document, of which one row stays. Rows without doc_id stay. Columns are those of docs.
     """
     text = F.col("text").cast("string")
     own = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    groups = near_dedup(own, keep=("text_key",), **how)
-    kept = written(groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*"), "kept")
+    groups = near_dedup(own, max_distance, keep=("text_key",), **how)
+    if similarity is None:
+        kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    else:
+        # One row for each text of a component: its copies go with any link, and empty texts are one text.
+        different = written(groups.groupBy("component", "fp", "text_key").agg(F.min("doc_id").alias("doc_id")), "different")
+        many = different.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        several = written(different.join(many, "component", "left_semi"), "several")
+        named = several.join(own, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+        columns = ("component", "doc_id", "text_key", "fp")
+        members = written(shingle_sets(named.select(*columns, "text"), words, columns), "members")
+        alone = different.join(many, "component", "left_anti").select("doc_id", "text_key")
+        kept = alone.unionByName(leaders(members, max_distance, similarity))
+    kept = written(kept, "kept")
     named = docs.withColumns({KEPT_ID: F.col("doc_id"), KEPT_KEY: F.xxhash64(text)})
     kept = kept.toDF(KEPT_ID, KEPT_KEY)
     named = named.join(kept, [KEPT_ID, KEPT_KEY], "left_semi")
