@@ -30,8 +30,8 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; empty and null texts are one group, rows without doc_id stay."""
-    return simhash.keep_first(docs)
+    """Documents without an earlier near copy (sets of five words, similarity 0.8); empty and null texts are one group, rows without doc_id stay."""
+    return simhash.keep_first(docs, similarity=0.8, max_distance=simhash.SET_DISTANCE, pieces=simhash.SET_PIECES)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
