@@ -38,7 +38,7 @@ PIECES = 2
 #: Most fingerprints that one shard compares in memory.
 CAPACITY = 4096
 #: Words of a shingle, bits and bit ranges of a search for near copies by shingle sets.
-SET_SHINGLE, SET_DISTANCE, SET_PIECES = 5, 7, 4
+SET_SHINGLE, SET_DISTANCE, SET_PIECES = 5, 3, 2
 #: Documents of one component that are settled among themselves before the others meet them.
 HEADS = 64
 #: Names for a document's id and text hash beside whatever columns a table has.
