@@ -13,7 +13,7 @@ from lodeseek.functions.text import lexical_text
 from lodeseek.operators import evidence as E
 from lodeseek.operators import fusion, reranking, vector
 from lodeseek.operators.lexical import LexicalIndex
-from lodeseek.plans.snapshots import settings_fingerprint
+from lodeseek.plans.snapshots import IndexInfo, check_together, settings_fingerprint
 
 METHODS = ("vector", "bm25", "hybrid", "reranked")
 
@@ -64,15 +64,19 @@ class FirstSource(Generator):
 
 @dataclass
 class Retriever:
-    """Chunks with the indexes that were made of them."""
+    """Chunks with the indexes that were made of them. Indexes whose infos are given must share a snapshot to be used together."""
 
     chunks: DataFrame
     index: LexicalIndex | None = None
     embeddings: DataFrame | None = None
     score: Callable[[Column, Column], Column] = vector.overlap
+    index_info: IndexInfo | None = None
+    embeddings_info: IndexInfo | None = None
 
     def retrieve(self, questions: DataFrame, method: str, k: int) -> DataFrame:
         """(query_id, rank, score, chunk columns) of questions(query_id, query_text[, embedding])."""
+        if method in ("hybrid", "reranked") and self.index_info and self.embeddings_info:
+            check_together(self.index_info, self.embeddings_info)
         if method == "bm25":
             found = self.index.search(questions, k)
         elif method == "vector":
