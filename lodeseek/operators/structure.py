@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 #: The grammar of each extension.
 GRAMMARS = {
@@ -27,48 +30,38 @@ class Unit:
     parent: str | None
 
 
-def _nearest(start: int, end: int, containers: list[tuple[int, int, str | None]]) -> tuple[int, int, str | None] | None:
-    around = [c for c in containers if c[0] <= start and end <= c[1] and (start, end) != c[:2]]
-    return min(around, key=lambda c: c[1] - c[0]) if around else None
-
-
-def _outermost(spans: list[tuple]) -> list[tuple]:
-    """Spans (start, end, ...) that lie in no other."""
-    out: list[tuple] = []
-    for s in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if not out or s[1] > out[-1][1]:
-            out.append(s)
-    return out
-
-
-def _with_classes(functions: list[tuple], classes: list[tuple], constructor, class_parents: bool) -> list[Unit]:
-    """Outermost functions, as methods where a class is around them, and the classes without a method of their own."""
-    units, used = [], set()
-    for start, end, name in functions:
-        around = _nearest(start, end, classes)
-        kind = "function"
-        if around:
-            used.add(around[:2])
-            kind = "constructor" if constructor(name, around[2]) else "method"
-        units.append(Unit(start, end, kind, name, around[2] if around else None))
-    for start, end, name in classes:
-        if (start, end) not in used:
-            around = _nearest(start, end, classes) if class_parents else None
-            units.append(Unit(start, end, "class", name, around[2] if around else None))
-    return units
-
-
 def python_units(source: bytes) -> tuple[list[Unit], bool]:
-    """(units, whether the file has syntax errors). A file with an error has no units."""
+    """(units, whether the file has syntax errors): functions in no other function, and classes without such a function of their own.
+
+    A file with an error has no units. One walk down the tree carries the class around a node and whether a function is.
+    """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return [], True
     begins = [0] + [m.end() for m in re.finditer(rb"\r\n|\r|\n", source)]
-    span = lambda n: (begins[n.lineno - 1] + n.col_offset, begins[n.end_lineno - 1] + n.end_col_offset, n.name)
-    functions = [span(n) for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    classes = [span(n) for n in ast.walk(tree) if isinstance(n, ast.ClassDef)]
-    return _with_classes(_outermost(functions), classes, lambda name, _: name == "__init__", True), False
+    units: list[Unit] = []
+    classes: list[tuple[ast.ClassDef, ast.ClassDef | None]] = []
+    with_functions: set[ast.AST] = set()
+
+    def unit(node, kind: str, owner: ast.ClassDef | None) -> Unit:
+        return Unit(begins[node.lineno - 1] + node.col_offset, begins[node.end_lineno - 1] + node.end_col_offset, kind, node.name, owner.name if owner else None)
+
+    todo: list[tuple[ast.AST, ast.ClassDef | None, bool]] = [(tree, None, False)]
+    while todo:
+        above, owner, in_function = todo.pop()
+        for node in ast.iter_child_nodes(above):
+            if isinstance(node, ast.ClassDef):
+                classes.append((node, owner))
+                todo.append((node, node, in_function))
+            elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and not in_function:
+                kind = "function" if owner is None else "constructor" if node.name == "__init__" else "method"
+                units.append(unit(node, kind, owner))
+                with_functions.add(owner)
+                todo.append((node, owner, True))
+            else:
+                todo.append((node, owner, in_function))
+    return units + [unit(node, "class", owner) for node, owner in classes if node not in with_functions], False
 
 
 _HIDDEN = re.compile(rb"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.DOTALL)
@@ -81,90 +74,112 @@ def _blanked(source: bytes) -> bytes:
     return _HIDDEN.sub(lambda m: re.sub(rb"[^\r\n]", b" ", m[0]), source)
 
 
-def _braces(code: bytes) -> tuple[dict[int, int], bool]:
-    """(opening brace -> place after its closing one, whether any brace has no partner)."""
-    pairs, open_, odd = {}, [], False
-    for m in re.finditer(rb"[{}]", code):
-        if m[0] == b"{":
-            open_.append(m.start())
-        elif open_:
-            pairs[open_.pop()] = m.end()
-        else:
-            odd = True
-    return pairs, odd or bool(open_)
+class Braces:
+    """The braces of blanked code as a tree: what a declaration lies in is read off the braces around its place."""
+
+    def __init__(self, code: bytes):
+        self.end: dict[int, int] = {}  # opening brace -> place after its partner
+        self.outer: dict[int, int | None] = {}
+        self.opening: list[int] = []
+        self.errors = False
+        open_: list[int] = []
+        for m in re.finditer(rb"[{}]", code):
+            if m[0] == b"{":
+                self.outer[m.start()] = open_[-1] if open_ else None
+                self.opening.append(m.start())
+                open_.append(m.start())
+            elif open_:
+                self.end[open_.pop()] = m.end()
+            else:
+                self.errors = True
+        self.errors |= bool(open_)
+
+    def around(self, place: int) -> Iterator[int]:
+        """The opening braces of the blocks around a place, from the inside out; braces without a partner are none."""
+        k = bisect_left(self.opening, place)
+        at = self.opening[k - 1] if k else None
+        while at is not None:
+            if self.end.get(at, 0) > place:
+                yield at
+            at = self.outer[at]
 
 
 def _text(x: bytes | None) -> str | None:
     return x.decode() if x is not None else None
 
 
-def _blocks(code: bytes, pattern: bytes, pairs: dict[int, int], skip=()) -> list[tuple[int, int, str]]:
-    """(start, end, name) of declarations whose match ends with an opening brace that has a partner."""
-    return [(m.start("node"), pairs[m.end() - 1], _text(m["name"])) for m in re.finditer(pattern, code, re.DOTALL) if m.end() - 1 in pairs and m["name"] not in skip]
+def _blocks(code: bytes, pattern: bytes, braces: Braces, skip=()) -> dict[int, tuple[int, str]]:
+    """Opening brace -> (start, name) of the declarations whose match ends with a brace that has a partner."""
+    return {m.end() - 1: (m.start("node"), _text(m["name"])) for m in re.finditer(pattern, code, re.DOTALL) if m.end() - 1 in braces.end and m["name"] not in skip}
+
+
+def _block_units(blocks: dict[int, tuple[int, str]], braces: Braces, kind: str) -> list[Unit]:
+    return [Unit(start, braces.end[b], kind, name, None) for b, (start, name) in blocks.items()]
 
 
 def script_units(source: bytes, typed: bool) -> tuple[list[Unit], bool]:
     code = _blanked(source)
-    pairs, errors = _braces(code)
-    classes = _blocks(code, rb"(?<![\w$.])(?P<node>" + (rb"(?:abstract\s+)?" if typed else b"") + rb"class\s+(?P<name>" + _NAME + rb")[^{};()]*)\{", pairs)
+    braces = Braces(code)
+    classes = _blocks(code, rb"(?<![\w$.])(?P<node>" + (rb"(?:abstract\s+)?" if typed else b"") + rb"class\s+(?P<name>" + _NAME + rb")[^{};()]*)\{", braces)
     arguments = rb"\((?:[^()]|\([^()]*\))*\)\s*(?::\s*[^{};=]+)?\{"
     modifiers = rb"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*"
-    found = _blocks(code, rb"(?<=[{};\s])(?P<node>" + modifiers + rb"(?P<name>#?" + _NAME + rb")\s*(?:<[^{}()]*>)?\s*)" + arguments, pairs, _CONTROL)
-    methods = []
-    for start, end, name in found:
-        around = _nearest(start, end, classes)
-        depth = [b for b, e in pairs.items() if around and around[0] < b < start and end < e <= around[1]]
-        if len(depth) == 1:  # the class's own brace and no other
-            methods.append((start, end, name))
-    units, used = [], set()
-    for start, end, name in methods:
-        around = _nearest(start, end, classes)
-        used.add(around[:2])
-        units.append(Unit(start, end, "constructor" if name == "constructor" else "method", name, around[2]))
-    outside = lambda start, end: _nearest(start, end, [(a, b, None) for a, b, _ in methods]) is None
-    for start, end, name in _blocks(code, rb"(?<![\w$.])(?P<node>(?:async\s+)?function\s*\*?\s*(?P<name>" + _NAME + rb")\s*(?:<[^{}()]*>)?\s*)" + arguments, pairs):
-        if outside(start, end):
-            units.append(Unit(start, end, "function", name, None))
+    found = _blocks(code, rb"(?<=[{};\s])(?P<node>" + modifiers + rb"(?P<name>#?" + _NAME + rb")\s*(?:<[^{}()]*>)?\s*)" + arguments, braces, _CONTROL)
+    owners = {b: next(braces.around(b), None) for b in found}
+    methods = {b: found[b] for b, owner in owners.items() if owner in classes}  # the class's own brace and no other is around
+    units = [Unit(start, braces.end[b], "constructor" if name == "constructor" else "method", name, classes[owners[b]][1]) for b, (start, name) in methods.items()]
+    outside = lambda place: methods.keys().isdisjoint(braces.around(place))
+    functions = _blocks(code, rb"(?<![\w$.])(?P<node>(?:async\s+)?function\s*\*?\s*(?P<name>" + _NAME + rb")\s*(?:<[^{}()]*>)?\s*)" + arguments, braces)
+    units += _block_units({b: x for b, x in functions.items() if outside(x[0])}, braces, "function")
     value = rb"(?<=\s)(?P<name>" + _NAME + rb")\s*(?::[^=;{}]+)?=\s*(?:async\s+)?(?:function\b[^{;]*|(?:<[^>]+>\s*)?(?:\((?:[^()]|\([^()]*\))*\)|" + _NAME + rb")\s*(?::[^={;]+)?=>\s*)"
     for m in re.finditer(rb"\b(?:const|let|var)(?=\s)", code):
         if v := re.compile(rb"\s*" + value.removeprefix(rb"(?<=\s)"), re.DOTALL).match(code, m.end()):
-            end = pairs.get(v.end()) if code[v.end() : v.end() + 1] == b"{" else None
+            end = braces.end.get(v.end())
             if end is None:
                 stop = re.compile(rb"[;\n]").search(code, v.end())
                 end = stop.start() if stop else len(code)
-            if outside(v.start("name"), end):
+            if outside(v.start("name")):
                 units.append(Unit(v.start("name"), end, "function", _text(v["name"]), None))
     if typed:
-        for word, kind in ((b"interface", "interface"), (b"enum", "enum")):
-            units += [Unit(a, b, kind, name, None) for a, b, name in _blocks(code, rb"(?<![\w$.])(?P<node>(?:const\s+)?" * (word == b"enum") + (b"" if word == b"enum" else rb"(?<![\w$.])(?P<node>") + word + rb"\s+(?P<name>" + _NAME + rb")[^{};()]*)\{", pairs)]
+        for kind, word in (("interface", rb"interface"), ("enum", rb"(?:const\s+)?enum")):
+            units += _block_units(_blocks(code, rb"(?<![\w$.])(?P<node>" + word + rb"\s+(?P<name>" + _NAME + rb")[^{};()]*)\{", braces), braces, kind)
         for m in re.finditer(rb"(?<![\w$.])type\s+(?P<name>" + _NAME + rb")[^=;{}()]*=", code):
             at, depth = m.end(), 0
             while at < len(code) and (depth or code[at : at + 1] != b";"):
                 depth += (code[at : at + 1] in (b"{", b"(", b"[")) - (code[at : at + 1] in (b"}", b")", b"]"))
                 at += 1
             units.append(Unit(m.start(), min(at + 1, len(code)), "type", _text(m["name"]), None))
-    units += [Unit(a, b, "class", name, None) for a, b, name in classes if (a, b) not in used]
-    return units, errors
+    with_methods = {owners[b] for b in methods}
+    return units + _block_units({b: x for b, x in classes.items() if b not in with_methods}, braces, "class"), braces.errors
 
 
 def c_units(source: bytes, plus: bool) -> tuple[list[Unit], bool]:
     code = re.sub(rb"(?m)^[ \t]*#(?:[^\n]*\\\n)*[^\n]*", lambda m: re.sub(rb"[^\r\n]", b" ", m[0]), _blanked(source))
-    pairs, errors = _braces(code)
-    classes = _blocks(code, rb"\b(?P<node>(?:class|struct)\s+(?P<name>[A-Za-z_]\w*)[^{};()=]*)\{", pairs) if plus else []
-    classes = [c for c in classes if not re.search(rb"\benum\s+$", code[: c[0]])]
-    functions = []
-    for m in re.finditer(rb"\{", code):
-        if m.start() not in pairs:
+    braces = Braces(code)
+    classes = _blocks(code, rb"\b(?P<node>(?:class|struct)\s+(?P<name>[A-Za-z_]\w*)[^{};()=]*)\{", braces) if plus else {}
+    classes = {b: x for b, x in classes.items() if not re.search(rb"\benum\s+$", code[: x[0]])}
+    functions: dict[int, tuple[int, str]] = {}
+    for brace in braces.opening:
+        if brace not in braces.end:
             continue
-        begin = max(code.rfind(c, 0, m.start()) for c in (b";", b"{", b"}")) + 1
-        head = code[begin : m.start()]
+        begin = max(code.rfind(c, 0, brace) for c in (b";", b"{", b"}")) + 1
+        head = code[begin:brace]
         head = re.sub(rb"^(?:\s*(?:public|private|protected)\s*:)+", lambda x: b" " * len(x[0]), head)
         names = re.findall(rb"(~?[A-Za-z_]\w*)\s*\(", head)
         if names and b")" in head and names[-1] not in _CONTROL and b"=" not in head.split(b"(")[0]:
-            functions.append((begin + len(head) - len(head.lstrip()), pairs[m.start()], _text(names[-1])))
-    units = _with_classes(_outermost(functions), classes, lambda name, own: name == own, False)
-    units += [Unit(a, b, "enum", name, None) for a, b, name in _blocks(code, rb"\b(?P<node>enum(?:\s+(?:class|struct))?\s+(?P<name>[A-Za-z_]\w*)[^{};()]*)\{", pairs)]
-    return [u if u.kind != "class" else Unit(u.start, u.end, u.kind, u.symbol, None) for u in units], errors
+            functions[brace] = begin + len(head) - len(head.lstrip()), _text(names[-1])
+    units, with_methods = [], set()
+    for brace, (start, name) in functions.items():
+        around = list(braces.around(brace))
+        if not functions.keys().isdisjoint(around):
+            continue
+        owner = next((b for b in around if b in classes), None)
+        with_methods.add(owner)
+        own = classes[owner][1] if owner is not None else None
+        kind = "function" if owner is None else "constructor" if name == own else "method"
+        units.append(Unit(start, braces.end[brace], kind, name, own))
+    units += _block_units({b: x for b, x in classes.items() if b not in with_methods}, braces, "class")
+    units += _block_units(_blocks(code, rb"\b(?P<node>enum(?:\s+(?:class|struct))?\s+(?P<name>[A-Za-z_]\w*)[^{};()]*)\{", braces), braces, "enum")
+    return units, braces.errors
 
 
 def units_of(grammar: str, source: bytes) -> tuple[list[Unit], bool]:
@@ -197,11 +212,9 @@ def chunk_source(grammar: str, source: bytes, most: int, overlap: int, most_unit
     if not units:
         status = "fallback_syntax_errors" if errors else "fallback_no_structures"
         return [("file", None, None, *p, status) for p in line_parts(source, 1, most, overlap)]
-    out, cursor, line = [], 0, lambda at: source.count(b"\n", 0, at) + 1
-    for u in units:
-        out += [(u.kind, u.symbol, u.parent, *p, "parsed_with_errors" if errors else "parsed") for p in line_parts(source[u.start : u.end], line(u.start), most_unit, 0)]
-    for start, end in [*((u.start, u.end) for u in units), (len(source), len(source))]:
-        if source[cursor:start].strip():
-            out += [("file", None, None, *p, "file_context") for p in line_parts(source[cursor:start], line(cursor), most, 0)]
-        cursor = max(cursor, end)
-    return out
+    line = lambda at: source.count(b"\n", 0, at) + 1
+    status = "parsed_with_errors" if errors else "parsed"
+    out = [(u.kind, u.symbol, u.parent, *p, status) for u in units for p in line_parts(source[u.start : u.end], line(u.start), most_unit, 0)]
+    reached = accumulate((u.end for u in units), max, initial=0)  # what lies before each unit is free from where all units so far end
+    between = [(a, b) for a, b in zip(reached, [*(u.start for u in units), len(source)]) if source[a:b].strip()]
+    return out + [("file", None, None, *p, "file_context") for a, b in between for p in line_parts(source[a:b], line(a), most, 0)]
