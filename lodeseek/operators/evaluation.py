@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.functions.ranking import PLACES
+
 
 def files(ranking: DataFrame) -> DataFrame:
     """(query_id, file_path, rank) of ranking(query_id, rank, file_path): each file at its best chunk, ranked anew."""
@@ -12,6 +14,13 @@ def files(ranking: DataFrame) -> DataFrame:
     return best.select("query_id", "file_path", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "file_path")).alias("rank"))
 
 
+def files_of_scores(scores: DataFrame) -> DataFrame:
+    """files() of the complete ranking of scores(query_id, chunk_id, score, file_path), which is not made: a file's best chunk is a minimum."""
+    place = F.struct((-F.bround("score", PLACES)).alias("behind"), "chunk_id")
+    best = scores.groupBy("query_id", "file_path").agg(F.min(place).alias("best"))
+    return best.select("query_id", "file_path", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "file_path")).alias("rank"))
+
+
 def by_query(ranking: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """(query_id, n_relevant, recall_k, hit_k, reciprocal_rank) for every query of relevant(query_id, file_path)."""
     wanted = relevant.select("query_id", "file_path").distinct()

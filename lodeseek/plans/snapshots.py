@@ -67,6 +67,13 @@ def check_together(first: IndexInfo, second: IndexInfo) -> str:
     return first.corpus
 
 
+def compared(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(repository, same_count, same_corpus, together) for each repository of two chunk tables: whether indexes of both may be used together."""
+    a, b = (corpus_fingerprint(c).select("repository", F.col("n_chunks").alias(f"n_{i}"), F.col("fingerprint").alias(f"fp_{i}")) for i, c in enumerate((first, second)))
+    count, corpus = F.col("n_0").eqNullSafe(F.col("n_1")), F.col("fp_0").eqNullSafe(F.col("fp_1"))
+    return a.join(b, "repository", "full").select("repository", count.alias("same_count"), corpus.alias("same_corpus"), (count & corpus).alias("together"))
+
+
 def check_ids(chunks: DataFrame) -> None:
     """Raise if a chunk id stands twice or is empty, or a corpus has no chunk."""
     found = chunks.groupBy("chunk_id").count().agg(F.count("*").alias("n"), F.count_if(F.coalesce("chunk_id", F.lit("")) == "").alias("empty"), F.max("count").alias("most")).first()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
-from lodeseek.operators import chunking, evaluation, evidence, fusion, lexical, reranking, vector
+from lodeseek.operators import chunking, evaluation, evidence, fusion, lexical, reranking, vector, vector_index
 from lodeseek.plans import answering, snapshots
 from lodeseek.sources import policy, tables
 
@@ -40,14 +40,18 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple[str, str], str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    """The index of a folder's documents, built once in a session."""
+def index_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index of a folder's documents is, built once in a session."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _BUILT:
         at = tables.workspace(spark)
         lexical.build(texts(spark, sf_dir), at)
         _BUILT[key] = at
-    return lexical.load(spark, _BUILT[key])
+    return _BUILT[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    return lexical.load(spark, index_path(spark, sf_dir))
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -249,7 +253,8 @@ def vector_multi_query(spark, sf_dir):
 
 
 def hybrid_queries(spark, sf_dir):
-    return items(spark, sf_dir).join(vectors(spark, sf_dir).withColumnRenamed("chunk_id", "query_id"), "query_id")
+    """Every item; one without a vector has a lexical ranking alone."""
+    return items(spark, sf_dir).join(vectors(spark, sf_dir).withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
 
 
 _SIDES = ["vector_rank", "vector_raw_score", "vector_contribution", "bm25_rank", "bm25_raw_score", "bm25_contribution"]
@@ -368,6 +373,38 @@ def chunk_texts(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", F.sha2(T.lexical_text(), 256).alias("lexical_sha256"), F.sha2(T.embedding_text(), 256).alias("embedding_sha256"))
 
 
+# Stored indexes
+
+
+@query(f"WITH {_INDEX} SELECT count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, CAST(0 AS BIGINT) AS n_other_terms, true AS same_statistics FROM terms")
+def lexical_index_check(spark, sf_dir):
+    """The stored lexical index against what its tokens and postings give again."""
+    return lexical.differences(spark, index_path(spark, sf_dir))
+
+
+_FOLD = """bk{m} AS (SELECT substr(chunk_id, 1, 4) AS b, sha256(string_agg('["' || chunk_id || '","' || content_hash || '"]', chr(10) ORDER BY chunk_id)) AS d, count(*) AS n FROM chunks{m} GROUP BY 1),
+    fp{m} AS (SELECT 'corpus' AS repository, sha256('corpus' || chr(10) || 'null' || chr(10) || string_agg(d, chr(10) ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_chunks FROM bk{m})"""
+
+
+@query(f"WITH {_CHUNKS}, {_FOLD.format(m='')} SELECT repository, n_chunks, fingerprint AS corpus, n_chunks AS n_vectors, CAST(64 AS INTEGER) AS dimension, true AS one_size, CAST(0 AS BIGINT) AS n_not_finite, CAST(0 AS BIGINT) AS n_not_unit FROM fp")
+def vector_index_check(spark, sf_dir):
+    """A vector index of the chunks, built, stored and loaded with its checks: its snapshot and what its vectors are like."""
+    made = vector_index.build(chunks(spark, sf_dir), vector.HashingEmbedder(64), tables.workspace(spark))
+    info = made.info
+    row = spark.createDataFrame([(info.repository, info.n_chunks, info.corpus)], "repository string, n_chunks long, corpus string")
+    return row.crossJoin(F.broadcast(vector.validation(made.vectors)))  # one row each
+
+
+@query(f"""WITH {_CHUNKS}, {_windows(40, 10, _FILES, '2')}, hashed2 AS (SELECT *, sha256(content) AS content_hash FROM parts2),
+    chunks2 AS (SELECT *, sha256('["corpus",null,"' || file_path || '","file",null,null,' || start_line || ',' || end_line || ',' || coalesce(CAST(part_index AS VARCHAR), 'null') || ',' || part_count || ',"' || content_hash || '"]') AS chunk_id FROM hashed2),
+    {_FOLD.format(m='')}, {_FOLD.format(m='2')}
+    SELECT repository, fp.n_chunks = fp2.n_chunks AS same_count, fp.fingerprint = fp2.fingerprint AS same_corpus, fp.n_chunks = fp2.n_chunks AND fp.fingerprint = fp2.fingerprint AS together FROM fp JOIN fp2 USING (repository)""")
+def index_compat(spark, sf_dir):
+    """Whether indexes of windows of 80 and of 40 lines are of one snapshot."""
+    files = chunking.document_files(table(spark, sf_dir, "documents"))
+    return snapshots.compared(chunking.chunk_files(files), chunking.chunk_files(files, chunking.ChunkSettings(40, 10)))
+
+
 # Files
 
 _ENDINGS = [*policy.LANGUAGES, "", ".bin", ".PY", "/Dockerfile", "/.git/config.py"]
@@ -481,14 +518,14 @@ def cited_evidence(spark, sf_dir):
 # Evaluation
 
 _COLLAPSE = f"""{_bm25(_ITEMS)}, docs AS (SELECT doc_id AS chunk_id, source AS file_path FROM documents WHERE text IS NOT NULL),
-    best AS (SELECT query_id, file_path, min(rank) AS best FROM (SELECT * FROM ranks WHERE rank <= 50) JOIN docs USING (chunk_id) GROUP BY ALL),
+    best AS (SELECT query_id, file_path, min(rank) AS best FROM ranks JOIN docs USING (chunk_id) GROUP BY ALL),
     fl AS (SELECT query_id, file_path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best, file_path) AS INTEGER) AS rank FROM best)"""
 
 
 def _by_source(spark, sf_dir):
     """The ranking with a document's source as its file, so that files have many chunks."""
-    found = index(spark, sf_dir).search(items(spark, sf_dir), 50)
-    return evaluation.files(found.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path")), "chunk_id"))
+    found = index(spark, sf_dir).scores(items(spark, sf_dir))
+    return evaluation.files_of_scores(found.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path")), "chunk_id"))
 
 
 @query(f"WITH {_COLLAPSE} SELECT query_id, file_path, rank FROM fl")
@@ -517,10 +554,13 @@ def eval_summary(spark, sf_dir):
     return rounded(evaluation.summary(_scores(spark, sf_dir)), "recall_1", "hit_1", "recall_3", "hit_3", "recall_5", "hit_5", "mrr")
 
 
-# Python on executors: no SQL says the same
+# Structure and answers
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS part, turn, 'def turn_' || turn || '():' || chr(10) || '    return ' || CAST(to_json({'text': text}) AS VARCHAR) AS content FROM conversations WHERE text IS NOT NULL),
+    n AS (SELECT *, 'c' || conv_id || '/' || part || '.py' AS file_path, 'turn_' || turn AS symbol_name, sha256(content) AS content_hash, CAST(3 * row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, content) - 2 AS INTEGER) AS start_line FROM t)
+    SELECT file_path, 'function' AS chunk_type, symbol_name, start_line, CAST(start_line + 1 AS INTEGER) AS end_line, CAST(0 AS INTEGER) AS part_index, CAST(1 AS INTEGER) AS part_count, content_hash, 'parsed' AS parser_status,
+    sha256('["talks",null,"' || file_path || '","function","' || symbol_name || '",null,' || start_line || ',' || (start_line + 1) || ',null,1,"' || content_hash || '"]') AS chunk_id FROM n""")
 def structural_units(spark, sf_dir):
     """Conversations as Python files of one function a turn, 64 turns a file, cut into units."""
     part = F.floor(F.col("turn") / 64).cast("string")
@@ -528,10 +568,15 @@ def structural_units(spark, sf_dir):
     body = F.concat(F.lit("def "), name, F.lit("():\n    return "), F.to_json(F.struct("text")), F.lit("\n\n"))
     own = table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", body.alias("t")))).alias("b"))
     files = own.select(F.lit("talks").alias("repository"), F.lit(None).cast("string").alias("commit_hash"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("part"), F.lit(".py")).alias("file_path"), F.lit("Python").alias("language"), F.lit(".py").alias("extension"), F.array_join(F.transform("b", lambda x: x.t), "").alias("text"))
-    return chunking.chunk_files(files).drop("content")
+    return chunking.chunk_files(files).select("file_path", "chunk_type", "symbol_name", "start_line", "end_line", zeroed("part_index"), "part_count", "content_hash", "parser_status", "chunk_id")
 
 
-@query()
+@query(f"""WITH {_HYBRID}, {_WHOLE},
+    ev AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, rank AS retrieval_rank, r.chunk_id, file_path, end_line, content FROM (SELECT * FROM fused WHERE rank <= 50) r JOIN whole w USING (chunk_id) WHERE w.language = 'Markdown'),
+    ev5 AS (SELECT *, 'S' || nth AS source_id FROM ev WHERE nth <= 5),
+    cx AS (SELECT query_id, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY nth) AS context, count(*) AS n, first(file_path ORDER BY nth) AS path FROM ev5 GROUP BY query_id)
+    SELECT query_id, coalesce(n, 0) AS n_sources, sha256('QUESTION:' || chr(10) || query_text || chr(10) || chr(10) || 'REPOSITORY EVIDENCE:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Answer from this evidence alone.') AS prompt_sha256,
+    'The closest excerpt is in ' || path || ' [S1].' AS answer, CASE WHEN n > 0 THEN 'S1' ELSE '' END AS cited, coalesce(n, 0) > 0 AS valid FROM qs LEFT JOIN cx USING (query_id)""")
 def qa_dry_run(spark, sf_dir):
     """The items as questions, answered by the generator without a model."""
     retriever = answering.Retriever(whole_documents(spark, sf_dir), index(spark, sf_dir), vectors(spark, sf_dir))
