@@ -256,3 +256,20 @@ def test_chunk_ids_and_files(spark):
     again = chunking.chunk_files(files, chunking.ChunkSettings(80, 10, 3))
     assert chunking.difference(spark.createDataFrame(rows, chunking.CHUNK), again).isEmpty()
     assert {(r.language, r.n_chunks, r.n_structural, r.n_fallback) for r in chunking.counts(again).collect()} == {("Python", 4, 4, 0), ("Text", 1, 0, 1)}
+
+
+def test_files_of_scores_follow_the_complete_ranking(spark):
+    rows = [(1, c, s, f) for c, s, f in [(1, 0.5, "a"), (2, 0.5, "b"), (3, 0.9, "c"), (4, 0.1, "a"), (5, 0.9 + 1e-14, "a")]] + [(2, 1, 0.2, "b")]
+    scores = spark.createDataFrame(rows, "query_id long, chunk_id long, score double, file_path string")
+    whole = evaluation.files(fusion.ranked(scores, "score", "chunk_id"))
+    found = evaluation.files_of_scores(scores)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) == [(1, "a", 2), (1, "b", 3), (1, "c", 1), (2, "b", 1)]
+    assert evaluation.files_of_scores(scores.limit(0)).isEmpty()
+
+
+def test_deep_nesting_and_stray_braces():
+    nested = b"class A {\npublic:\n  void run() { if (x) { y(); } }\n  struct B { int get() { return 1; } };\n};\n"
+    assert units("cpp", nested) == [("method", "run", "A"), ("method", "get", "B")]
+    assert structure.units_of("javascript", b"function f() { return 1; }\n}")[1] and structure.units_of("c", b"{")[1]
+    inner = b"class A:\n    def run(self):\n        class B:\n            def go(self): pass\n"
+    assert units("python", inner) == [("method", "run", "A"), ("class", "B", "A")]

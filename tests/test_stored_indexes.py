@@ -6,7 +6,7 @@ from lodeseek.functions.text import lexical_text
 from lodeseek.operators import lexical, vector, vector_index
 from lodeseek.operators.chunking import chunk_files
 from lodeseek.plans.answering import Retriever
-from lodeseek.plans.snapshots import Incompatible, IndexInfo, describe
+from lodeseek.plans.snapshots import Incompatible, IndexInfo, compared, describe
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,10 @@ def test_indexes_of_two_snapshots_are_not_fused(chunks):
     other = dataclasses.replace(info, commit_hash="c2")
     with pytest.raises(Incompatible):
         Retriever(chunks, index_info=info, embeddings_info=other).retrieve(chunks, "hybrid", 5)
+
+
+def test_snapshots_are_compared(chunks):
+    fewer = chunks.where("file_path <> 'src/f0.txt'")
+    assert [tuple(r) for r in compared(chunks, chunks).collect()] == [("repo", True, True, True)]
+    assert [tuple(r) for r in compared(chunks, fewer).collect()] == [("repo", False, False, False)]
+    assert [tuple(r) for r in compared(chunks, chunks.limit(0)).collect()] == [("repo", False, False, False)]
