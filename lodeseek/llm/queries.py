@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import bpe_count, decontaminate, line_dedup, packing, secret_scan, simhash, substring_dedup, token_files, topk, toxicity
+from lodeseek.llm import bpe_count, decontaminate, fill_middle, line_dedup, mixing, packing, secret_scan, simhash, spelling, substring_dedup, token_files, topk, toxicity
 
 
 #: Folder of the tokenizer files; None: where the public_tokenizers module keeps them.
@@ -70,6 +70,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "name", F.sha2("secret", 256).alias("secret_sha256"), "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c, name: F.sha2(c.cast("binary"), 256).alias(name)
+    output = F.col("output")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(output, "output_sha256"), digest(fill_middle.restored(output, F.col("form")), "restored_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -81,7 +96,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_mix": op13_source_mix,
 }
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, for SQL that has no such function."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [b >> 1 ^ (0xEDB88320 if b & 1 else 0) for b in table]
+    return table
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
         WITH d AS (
@@ -133,4 +162,71 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+        ), h AS (
+            SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(x, 8 * i + 1, 8) AS BIGINT)) AS h FROM d
+        ), cut AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), parts AS (
+            SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(len(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(len(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM parts""",
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, run, CAST(count(*) AS BIGINT) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE len(run) >= 6 GROUP BY ALL
+        ), bytes AS (
+            SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs
+        ), hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(list_transform(range(0, len(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT)),
+                   lambda c, b: xor(c >> 8, ({_crc_table()})[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h FROM bytes
+        ), words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM hashed) WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), cuts AS (
+            SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM (SELECT *, unnest(range(0, len(word))) AS k FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+        ), found AS (
+            SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)
+        ), walk AS (
+            SELECT word, word AS root FROM found UNION ALL SELECT walk.word, found.form FROM walk JOIN found ON found.word = walk.root WHERE found.form IS NOT NULL
+        ), ends AS (
+            SELECT walk.word, root FROM walk JOIN found ON found.word = walk.root WHERE found.form IS NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM found JOIN ends USING (word)""",
+    "op13_source_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS x FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS HUGEINT) AS size, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM d GROUP BY source
+        ), sums AS (
+            SELECT *, sum(size) OVER () AS total, sum(weight) OVER () AS weights, sum(size) OVER least AS full_size, sum(weight) OVER least AS full_weight
+            FROM s WINDOW least AS (ORDER BY size * (6 // weight), source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        ), filled AS (
+            SELECT *, 2 * size * 100 * (weights - full_weight + weight) <= weight * (150 * total - 200 * (full_size - size)) AS is_full FROM sums
+        ), rest AS (
+            SELECT coalesce(sum(size) FILTER (is_full), 0) AS size, coalesce(sum(weight) FILTER (is_full), 0) AS weight FROM filled
+        ), goal AS (
+            SELECT source, CAST(filled.size AS BIGINT) AS source_size,
+                   CASE WHEN is_full THEN CAST(2 * filled.size AS DOUBLE) ELSE CAST(filled.weight * (150 * total - 200 * rest.size) AS DOUBLE) / CAST(100 * (weights - rest.weight) AS DOUBLE) END AS target FROM filled, rest
+        ), rate AS (
+            SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM goal
+        ), draws AS (
+            SELECT seed, d.doc_id, d.size, d.x, rate.source, source_size, target, CAST(floor(rate) AS BIGINT) +
+                   CASE WHEN (CAST('0x' || substr(x, 1, 8) AS BIGINT) + seed * CAST('0x' || substr(x, 9, 8) AS BIGINT)) % 4294967296 / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+            FROM d JOIN rate ON d.source IS NOT DISTINCT FROM rate.source, range(32) AS seeds(seed)
+        ), picked AS (
+            SELECT source, first(seed ORDER BY off, seed) AS seed FROM (SELECT source, seed, abs(sum(size * copies) - first(target)) AS off FROM draws GROUP BY source, seed) GROUP BY source
+        )
+        SELECT doc_id, size, source_size, target, size * copies AS taken FROM draws JOIN picked ON draws.source IS NOT DISTINCT FROM picked.source AND draws.seed = picked.seed""",
 }
