@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
-from lodeseek.operators import chunking, evaluation, evidence, fusion, lexical, reranking, vector, vector_index
+from lodeseek.operators import blocks, chunking, evaluation, evidence, fusion, lexical, reranking, vector, vector_index
 from lodeseek.plans import answering, snapshots
 from lodeseek.sources import policy, tables
 
@@ -37,15 +37,23 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, str, tuple], str] = {}
+
+
+def content_key(documents: DataFrame) -> tuple:
+    """What changes when a file of the table does: the number of files and a sum over their paths, sizes and times."""
+    meta = F.col("_metadata")
+    files = documents.select(F.xxhash64(meta["file_path"], meta["file_size"], meta["file_modification_time"]).alias("h")).distinct()
+    return tuple(files.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first())
 
 
 def index_path(spark: SparkSession, sf_dir: str) -> str:
-    """Where the index of a folder's documents is, built once in a session."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """Where the index of a folder's documents is, built once in a session for each state of their files."""
+    key = spark.sparkContext.applicationId, sf_dir, content_key(table(spark, sf_dir, "documents"))
     if key not in _BUILT:
         at = tables.workspace(spark)
         lexical.build(texts(spark, sf_dir), at)
+        blocks.build(spark, at)
         _BUILT[key] = at
     return _BUILT[key]
 
@@ -210,6 +218,12 @@ def bm25_multi_query(spark, sf_dir):
     return rounded(index(spark, sf_dir).search(items(spark, sf_dir), 5))
 
 
+@query(f"WITH {_bm25(_ITEMS)} {_RANKED.format('ranks', 5)}")
+def bm25_block_topk(spark, sf_dir):
+    """bm25_multi_query over blocks: slices of documents that cannot reach the first five are not read."""
+    return rounded(blocks.load(spark, index_path(spark, sf_dir)).search(items(spark, sf_dir), 5))
+
+
 _GRID = [(0.5, 0.0), (1.2, 0.5), (2.0, 1.0)]
 
 
@@ -382,6 +396,12 @@ def lexical_index_check(spark, sf_dir):
     return lexical.differences(spark, index_path(spark, sf_dir))
 
 
+@query(f"WITH {_INDEX} SELECT count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, CAST(0 AS BIGINT) AS n_other_headers FROM terms")
+def block_index_check(spark, sf_dir):
+    """The stored blocks against their postings; their number is of this engine's making."""
+    return blocks.differences(blocks.load(spark, index_path(spark, sf_dir))).drop("n_blocks")
+
+
 _FOLD = """bk{m} AS (SELECT substr(chunk_id, 1, 4) AS b, sha256(string_agg('["' || chunk_id || '","' || content_hash || '"]', chr(10) ORDER BY chunk_id)) AS d, count(*) AS n FROM chunks{m} GROUP BY 1),
     fp{m} AS (SELECT 'corpus' AS repository, sha256('corpus' || chr(10) || 'null' || chr(10) || string_agg(d, chr(10) ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_chunks FROM bk{m})"""
 
