@@ -55,6 +55,33 @@ def cited(answer: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(MARKER), F.lit(1)))
 
 
+#: Fixed value: what counts as code in an answer, a fence or a span within one line.
+CODE = r"```[\s\S]*?```|`[^`\n]+`"
+
+
+def linked(answer: Column) -> Column:
+    """The answer with a link in place of each marker [S...] outside code, to the source of that name; any digits count here, 0 too.
+
+    What stands between pieces of code is taken apart from them, so no text is scanned twice. A piece that begins with an unclosed backtick stays as it is.
+    """
+    outside, code = F.split(answer, CODE, -1), F.regexp_extract_all(answer, F.lit(CODE), F.lit(0))
+    link = lambda x: F.when(x.startswith("`"), x).otherwise(F.regexp_replace(x, r"\[(S[0-9]+)\]", r"[$1](#source-$1)"))
+    return F.array_join(F.zip_with(outside, code, lambda x, y: F.concat(link(x), F.coalesce(y, F.lit("")))), "")
+
+
+def with_cited(found: DataFrame, answers: DataFrame) -> DataFrame:
+    """The evidence with is_cited: whether the validated answer to its query names it. Queries without an answer cite nothing."""
+    own = answers.select("query_id", F.explode("cited").alias("source_id")).distinct().withColumn("is_cited", F.lit(True))
+    return found.join(own, ["query_id", "source_id"], "left").withColumn("is_cited", F.coalesce("is_cited", F.lit(False)))
+
+
+def sources(found: DataFrame) -> DataFrame:
+    """The evidence as a client sees it: named by source, without the ids of chunks."""
+    names = {"source_id": "id", "symbol_name": "symbol"}
+    columns = ["source_id", "file_path", "symbol_name", "parent_symbol", "start_line", "end_line", "language", "chunk_type", "retrieval_rank", "content"]
+    return found.select("query_id", *(F.col(c).alias(names.get(c, c)) for c in columns))
+
+
 def validated(answers: DataFrame, found: DataFrame) -> DataFrame:
     """answers(query_id, answer) with cited, unknown and valid: valid answers cite something and nothing that is not there."""
     own = found.groupBy("query_id").agg(F.collect_set("source_id").alias("available"))

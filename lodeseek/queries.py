@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
-from lodeseek.operators import blocks, chunking, evaluation, evidence, fusion, lexical, reranking, vector, vector_index
+from lodeseek.operators import blocks, chunking, evaluation, evidence, fusion, intervals, lexical, reranking, vector, vector_index
 from lodeseek.plans import answering, snapshots
-from lodeseek.sources import policy, tables
+from lodeseek.sources import artifacts, policy, repository, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -387,6 +387,51 @@ def chunk_texts(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", F.sha2(T.lexical_text(), 256).alias("lexical_sha256"), F.sha2(T.embedding_text(), 256).alias("embedding_sha256"))
 
 
+@query(f"WITH {_CHUNKS} SELECT file_path, coalesce(part_index, 0) AS part_index, content_hash, chunk_id FROM chunks")
+def artifact_chunks(spark, sf_dir):
+    """The chunks of the documents, published as an artifact and read back from it."""
+    own = chunking.document_files(table(spark, sf_dir, "documents"))
+    files = own.select(F.col("file_path").alias("relative_path"), "extension", "language", F.octet_length("text").cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("reason"))
+    snapshot = repository.Snapshot("corpus", "documents", "table", sf_dir, None, None)
+    made = artifacts.publish(chunking.chunk_files(own), files, tables.workspace(spark), snapshot, {"lines": 80, "overlap": 10})
+    return artifacts.read(spark, made, "chunks").select("file_path", zeroed("part_index"), "content_hash", "chunk_id")
+
+
+# Intervals
+
+_SPANS = """d AS (SELECT doc_id, CAST(char_length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL),
+    boxes AS (
+        SELECT doc_id, w || '/' || i AS id, CAST(i * (w // 2) AS BIGINT) AS s, CAST(least(n, i * (w // 2) + w) AS BIGINT) AS e FROM (SELECT *, unnest(range(0, n // (w // 2) + 1)) AS i FROM (SELECT *, unnest([300, 1000, 4000]) AS w FROM d))
+        UNION ALL SELECT doc_id, 'whole', 0, n FROM d
+    ),
+    spans AS (SELECT doc_id, CAST(i AS VARCHAR) AS id, CAST(i * 97 AS BIGINT) AS s, CAST(least(n, i * 97 + 40 + (i * 31) % 400) AS BIGINT) AS e FROM (SELECT *, unnest(range(0, n // 97 + 1)) AS i FROM d))"""
+
+
+def spans_of(spark, sf_dir):
+    """(containers, spans) of the documents: overlapping windows of three widths and the whole text, and pieces of 40 to 439 characters."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.char_length("text").cast("long").alias("n"))
+    up_to = lambda step: F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / step)))
+    boxes = d.select("doc_id", F.lit("whole").alias("id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    for w in (300, 1000, 4000):
+        own = d.withColumn("i", up_to(w // 2))
+        boxes = boxes.unionByName(own.select("doc_id", F.concat(F.lit(f"{w}/"), F.col("i").cast("string")).alias("id"), (F.col("i") * (w // 2)).alias("start"), F.least("n", F.col("i") * (w // 2) + w).alias("end")))
+    pieces = d.withColumn("i", up_to(97))
+    end = F.least(F.col("n"), F.col("i") * 97 + 40 + (F.col("i") * 31) % 400)
+    return boxes, pieces.select("doc_id", F.col("i").cast("string").alias("id"), (F.col("i") * 97).alias("start"), end.alias("end"))
+
+
+@query(f"""WITH {_SPANS}, met AS (
+        SELECT spans.doc_id, spans.id, spans.s, spans.e, b.id AS container_id, row_number() OVER (PARTITION BY spans.doc_id, spans.id ORDER BY b.e - b.s, b.s, b.id) AS nth
+        FROM spans JOIN boxes b ON b.doc_id = spans.doc_id AND b.s <= spans.s AND b.e >= spans.e AND NOT (b.s = spans.s AND b.e = spans.e)
+    ) SELECT spans.doc_id, spans.id, spans.s AS "start", spans.e AS "end", coalesce(container_id, '') AS container_id
+    FROM spans LEFT JOIN met ON met.doc_id = spans.doc_id AND met.id = spans.id AND nth = 1""")
+def span_containers(spark, sf_dir):
+    """The narrowest window around each piece of a document."""
+    boxes, pieces = spans_of(spark, sf_dir)
+    found = intervals.narrowest(boxes, pieces, "doc_id")
+    return found.select("doc_id", "id", "start", "end", F.coalesce("container_id", F.lit("")).alias("container_id"))
+
+
 # Stored indexes
 
 
@@ -535,6 +580,26 @@ def cited_evidence(spark, sf_dir):
     return evidence.cited_evidence(rows, own).select("query_id", "place", "source_id", "chunk_id")
 
 
+@query(f"WITH {_VALID} SELECT va.query_id, e.source_id AS id, file_path, e.retrieval_rank, end_line, list_contains(c, e.source_id) AS is_cited FROM va JOIN ev5 e ON e.query_id = item")
+def answer_sources(spark, sf_dir):
+    """The sources of each answer as a client sees them, and whether the answer cites them."""
+    rows, own = _validated(spark, sf_dir)
+    flags = evidence.with_cited(own, rows).select("query_id", F.col("source_id").alias("id"), "is_cited")
+    return evidence.sources(own).join(flags, ["query_id", "id"]).select("query_id", "id", "file_path", "retrieval_rank", "end_line", "is_cited")
+
+
+_MARKED = "text || ' [S1] `in [S2] code` [S03]' || CASE turn % 4 WHEN 0 THEN chr(10) || '```' || chr(10) || '[S4] `x`' || chr(10) || '```[S5]' WHEN 1 THEN ' ` [S6] open' WHEN 2 THEN ' ```[S7] never closed' ELSE '`a``[S8]' END"
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, {_MARKED} AS x FROM conversations WHERE text IS NOT NULL),
+    p AS (SELECT *, regexp_split_to_array(x, '```[\s\S]*?```|`[^`\n]+`') AS o, regexp_extract_all(x, '```[\s\S]*?```|`[^`\n]+`') AS c FROM a)
+    SELECT conv_id, turn, sha256(array_to_string(list_transform(range(1, len(o) + 1), lambda i: CASE WHEN starts_with(o[i], '`') THEN o[i] ELSE regexp_replace(o[i], '\[(S[0-9]+)\]', '[\1](#source-\1)', 'g') END || coalesce(c[i], '')), '')) AS linked_sha256 FROM p""")
+def citation_links(spark, sf_dir):
+    """Turns with markers inside and outside code: those outside become links."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return rows.select("conv_id", "turn", F.sha2(evidence.linked(F.expr(_MARKED)), 256).alias("linked_sha256"))
+
+
 # Evaluation
 
 _COLLAPSE = f"""{_bm25(_ITEMS)}, docs AS (SELECT doc_id AS chunk_id, source AS file_path FROM documents WHERE text IS NOT NULL),
