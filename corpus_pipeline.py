@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from lodeseek.llm import decontaminate, line_dedup, near_sets, packing, toxicity
 from lodeseek.llm.common import written
 from lodeseek.llm.queries import table, tokenizer
 
@@ -30,8 +30,8 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an earlier near copy (sets of five words, similarity 0.8); empty and null texts are one group, rows without doc_id stay."""
-    return simhash.keep_first(docs, similarity=0.8, max_distance=simhash.SET_DISTANCE, pieces=simhash.SET_PIECES)
+    """Documents without an earlier near copy (sets of five words, similarity 0.8); texts without words are one group, rows without doc_id stay."""
+    return near_sets.keep_first(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
