@@ -41,3 +41,15 @@ def _all_ranked(rows: DataFrame, order: list, by: tuple[str, ...]) -> DataFrame:
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys]
     met = placed.join(starts, same).withColumn("rank", (F.col("rank") + F.col("rank_start")).cast("int"))
     return met.drop("rank_part", "rank_start", *(f"of_{c}" for c in keys))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
+    """rows with their place from 1 in a total order over all of them: places in range parts, after the sizes of the parts before. No task sees all rows."""
+    dealt = rows.repartitionByRange(*order).withColumn("ord_part", F.spark_partition_id())
+    path = f"{workspace(rows.sparkSession)}/numbered"
+    dealt.write.parquet(path)
+    held = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    sizes = held.groupBy("ord_part").agg(F.count("*").alias("n"))
+    before = sizes.select("ord_part", (F.sum("n").over(Window.orderBy("ord_part")) - F.col("n")).alias("ord_before"))  # a row for each part
+    own = F.row_number().over(Window.partitionBy("ord_part").orderBy(*order))
+    return held.join(F.broadcast(before), "ord_part").withColumn(name, F.col("ord_before") + own).drop("ord_part", "ord_before")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
+from lodeseek.functions.canonical import folded
 from lodeseek.operators.structure import GRAMMARS, chunk_source
 
 #: The columns of a chunk, in order.
@@ -96,9 +97,13 @@ def document_files(documents: DataFrame, repository: str = "corpus") -> DataFram
     )
 
 
+def chunk_order() -> list[Column]:
+    return [folded(F.col("file_path")), *map(F.col, ("file_path", "start_line", "end_line", "chunk_id"))]
+
+
 def ordered(chunks: DataFrame) -> DataFrame:
-    """Chunks by path without case, path, lines and id (a range-partitioned sort)."""
-    return chunks.orderBy(F.lower("file_path"), "file_path", "start_line", "end_line", "chunk_id")
+    """Chunks by path in full case folding, path, lines and id (a range-partitioned sort)."""
+    return chunks.orderBy(*chunk_order())
 
 
 def counts(chunks: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.functions.canonical import json_array
+
 
 class Incompatible(ValueError):
     """Two artifacts that were not made from the same snapshot or settings."""
@@ -79,3 +81,49 @@ def check_ids(chunks: DataFrame) -> None:
     found = chunks.groupBy("chunk_id").count().agg(F.count("*").alias("n"), F.count_if(F.coalesce("chunk_id", F.lit("")) == "").alias("empty"), F.max("count").alias("most")).first()
     if not found.n or found.empty or found.most > 1:
         raise ValueError("chunk ids must be there, filled and different")
+
+
+@dataclass(frozen=True)
+class Methods:
+    """The settings that fix a result, beside the corpus: changing one changes every fingerprint built on it."""
+
+    tokenizer: str = "tokens-1"
+    text_format: str = "chunk-text-1"
+    k1: float = 1.5
+    b: float = 0.75
+    embedder: str = "hashing-64"
+    embedder_revision: str = "1"
+    max_tokens: int = 8192
+    normalized: bool = True
+    rrf_version: str = "rrf-1"
+    rrf_k: int = 60
+    reranker: str = "overlap"
+    reranker_revision: str = "1"
+    candidates: int = 50
+    pair_tokens: int = 1024
+    tie_policy: str = "score-hybrid-rank-chunk-id"
+    prompt: str = "prompt-1"
+    context_format: str = "context-1"
+    method: str = "hybrid"
+    k: int = 5
+    scope: str = "all"
+    generator: str = "first-source"
+    max_output_tokens: int = 2000
+
+
+def named_fingerprints(chunks: DataFrame, methods: Methods = Methods()) -> DataFrame:
+    """(repository, corpus, bm25, vector, hybrid, rerank, answers): each the SHA-256 of a JSON array of settings and of the fingerprints below it.
+
+    Sources and the vector settings are escaped to ASCII, the others are raw, as readers of either kind expect. Batch sizes are in none of them.
+    """
+    m = methods
+    commits = chunks.groupBy("repository").agg(F.first("commit_hash").alias("commit_hash"))
+    rows = corpus_fingerprint(chunks).select("repository", F.col("fingerprint").alias("corpus")).join(commits, "repository")
+    own, commit, corpus = F.col("repository"), F.col("commit_hash"), F.col("corpus")
+    digest = lambda *values, ascii_only=False: F.sha2(json_array(*values, ascii_only=ascii_only), 256)
+    rows = rows.withColumn("bm25", digest(own, commit, m.tokenizer, m.text_format, m.k1, m.b, corpus))
+    rows = rows.withColumn("vector", digest(m.text_format, m.embedder, m.embedder_revision, m.max_tokens, m.normalized, corpus, ascii_only=True))
+    rows = rows.withColumn("hybrid", digest(own, commit, corpus, F.col("vector"), F.col("bm25"), "hybrid", m.rrf_version, m.rrf_k, m.embedder, m.tokenizer))
+    rows = rows.withColumn("rerank", digest(own, commit, corpus, F.col("hybrid"), "hybrid", m.candidates, m.reranker, m.reranker_revision, m.pair_tokens, m.text_format, "rerank-1", m.tie_policy))
+    below = {"vector": "vector", "bm25": "bm25", "hybrid": "hybrid", "reranked": "rerank"}[m.method]
+    return rows.withColumn("answers", digest("answers-1", m.prompt, m.context_format, m.method, F.col(below), m.k, m.scope, m.generator, m.generator, m.max_output_tokens)).drop("commit_hash")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
+from lodeseek.functions.ranking import numbered
 from lodeseek.operators import blocks, chunking, evaluation, evidence, fusion, intervals, lexical, reranking, vector, vector_index
-from lodeseek.plans import answering, snapshots
+from lodeseek.plans import answering, snapshots, tree
 from lodeseek.sources import artifacts, policy, repository, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,6 +359,13 @@ def chunk_order(spark, sf_dir):
     return chunks(spark, sf_dir).select("file_path", F.row_number().over(by).alias("ord"), "chunk_id")
 
 
+@query(f"WITH {_CHUNKS} SELECT row_number() OVER (ORDER BY lower(file_path), file_path, start_line, end_line, chunk_id) AS ord, chunk_id FROM chunks")
+def chunk_global_order(spark, sf_dir):
+    """Each chunk's place in the whole corpus; paths are ASCII here, so their folding is lower case."""
+    rows = chunks(spark, sf_dir).select("file_path", "start_line", "end_line", "chunk_id")
+    return numbered(rows, chunking.chunk_order()).select("ord", "chunk_id")
+
+
 @query(f"WITH {_CHUNKS} SELECT 'Markdown' AS language, count(*) AS n_chunks, CAST(0 AS BIGINT) AS n_structural, count(*) AS n_fallback FROM chunks")
 def chunk_counts(spark, sf_dir):
     return chunking.counts(chunks(spark, sf_dir))
@@ -470,6 +478,28 @@ def index_compat(spark, sf_dir):
     return snapshots.compared(chunking.chunk_files(files), chunking.chunk_files(files, chunking.ChunkSettings(40, 10)))
 
 
+_BEFORE = """a AS (SELECT file_path, string_agg(content_hash || start_line || '/' || end_line || '/' || part_count, ',' ORDER BY start_line) AS x FROM (SELECT *, sha256(content) AS content_hash FROM parts) GROUP BY 1),
+    b AS (SELECT file_path, string_agg(content_hash || start_line || '/' || end_line || '/' || part_count, ',' ORDER BY start_line) AS x FROM (SELECT *, sha256(content) AS content_hash FROM parts2) GROUP BY 1)"""
+
+
+@query(f"WITH {_CHUNKS}, {_windows(20, 5, _FILES, '2')}, {_BEFORE} SELECT file_path AS path, 'changed' AS change FROM a JOIN b USING (file_path) WHERE a.x <> b.x")
+def snapshot_diff(spark, sf_dir):
+    """The files whose chunks change when windows have 20 lines instead of 80, by comparing two trees of digests."""
+    files = chunking.document_files(table(spark, sf_dir, "documents"))
+    first, second = (tree.nodes(chunking.chunk_files(files, s), tables.workspace(spark)) for s in (chunking.ChunkSettings(), chunking.ChunkSettings(20, 5)))
+    return tree.compare(first, second).files
+
+
+@query(f"""WITH {_CHUNKS}, {_FOLD.format(m='')},
+    s AS (SELECT repository, fingerprint AS corpus, sha256('["corpus",null,"tokens-1","chunk-text-1",1.5,0.75,"' || fingerprint || '"]') AS bm25, sha256('["chunk-text-1","hashing-64","1",8192,true,"' || fingerprint || '"]') AS vector FROM fp),
+    h AS (SELECT *, sha256('["corpus",null,"' || corpus || '","' || vector || '","' || bm25 || '","hybrid","rrf-1",60,"hashing-64","tokens-1"]') AS hybrid FROM s),
+    r AS (SELECT *, sha256('["corpus",null,"' || corpus || '","' || hybrid || '","hybrid",50,"overlap","1",1024,"chunk-text-1","rerank-1","score-hybrid-rank-chunk-id"]') AS rerank FROM h)
+    SELECT *, sha256('["answers-1","prompt-1","context-1","hybrid","' || hybrid || '",5,"all","first-source","first-source",2000]') AS answers FROM r""")
+def settings_fingerprints(spark, sf_dir):
+    """What fixes the results of each method over the chunks of the documents."""
+    return snapshots.named_fingerprints(chunks(spark, sf_dir))
+
+
 # Files
 
 _ENDINGS = [*policy.LANGUAGES, "", ".bin", ".PY", "/Dockerfile", "/.git/config.py"]
