@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import text as T
 from lodeseek.functions.canonical import folded
 from lodeseek.operators.structure import GRAMMARS, chunk_source
+from lodeseek.operators.units import python_parts
 
 #: The columns of a chunk, in order.
 CHUNK = (
@@ -80,13 +81,18 @@ def structural_parts(files: DataFrame, settings: ChunkSettings = ChunkSettings()
 def chunk_files(files: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
     """Chunks of files(repository, commit_hash, file_path, language, extension, text): by structure where there is a grammar, else by lines.
 
-    An empty file is one empty chunk. The order of rows is not fixed; see ordered().
+    Python goes through the joins of units.py, other grammars through the scanner of structure.py. An empty file is one empty chunk. The order of rows is not fixed; see ordered().
     """
     known = F.col("extension").isin(*GRAMMARS)
     plain = line_chunks(files.where(~F.coalesce(known, F.lit(False))).drop("extension"), settings.max_lines, settings.overlap)
     none = F.lit(None).cast("string")
     plain = plain.withColumns({"chunk_type": F.lit("file"), "symbol_name": none, "parent_symbol": none, "parser_status": F.lit("fallback_unsupported_language")})
-    return identified(structural_parts(files.where(known), settings).unionByName(plain))
+    python = F.coalesce(F.col("extension") == ".py", F.lit(False))
+    parts = structural_parts(files.where(known & ~python), settings).unionByName(plain)
+    python = files.where(python)
+    if not python.isEmpty():  # a constant extension is decided without a job
+        parts = parts.unionByName(python_parts(python, settings.max_lines, settings.overlap, settings.max_unit_lines))
+    return identified(parts)
 
 
 def document_files(documents: DataFrame, repository: str = "corpus") -> DataFrame:
