@@ -38,12 +38,13 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk
 NAMES = ("token", "secret", "passw", "pwd", "api_key", "apikey", "auth", "credential", "private", "access_key")
 AGAINST = ("sha1", "sha256", "md5", "checksum", "digest", "commit", "uuid", "example", "dummy", "sample", "placeholder", "integrity", "http", "www", "mail", "version")
 PLAIN_PATHS = ("test", "example", "doc", "sample", "lock", "fixture")
-ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{0,40})[\"']?[ \t]*(?:=|:=|:|=>)[ \t]*[\"']?([^\s\"'<>,;(){}\[\]]{8,})")
+VALUE = r"[^\s\"'<>,;(){}\[\]"
+ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{0,40})[\"']?[ \t]*(?:=|:=|:|=>)[ \t]*[\"']?(" + VALUE + "]{8})")
 BARE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}")
 #: Capital letters inside a string without digits.
 MIXED = re.compile("(?<=[a-z])[A-Z]")
 #: A value up to what ends it in a URL or connection string; and up to a further assignment, for values inside more than NESTED others.
-PART, INNER, NESTED = re.compile("[^&@#|]+"), re.compile("[^&@#|:=?]+"), 8
+WHOLE, PART, INNER, NESTED = re.compile(VALUE + "]+"), re.compile("[^&@#|]+"), re.compile(VALUE + "&@#|:=?]+"), 8
 #: The next field of a URL's query, which is in no value.
 QUERY = re.compile("&[A-Za-z_][A-Za-z0-9_.-]*=")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -140,7 +141,7 @@ def features(candidate: str, name: str, before: str, after: str, path: str, corp
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, name it is assigned to or nothing) of strings that could be secrets: values of an assignment, and long mixed strings.
 
-    They may lie inside each other: the value of an assignment may hold further assignments, end at a mark of a URL, or
+    Texts of any length are read in time that grows with them: a run of assignments is read to its end NESTED times at most. They may lie inside each other: the value of an assignment may hold further assignments, end at a mark of a URL, or
     hold long strings.
     """
     out = {}
@@ -152,9 +153,15 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     at = 0
     while m := ASSIGNED.search(text, at):
         at = m.start(2)  # the next assignment may be inside this value
-        level, outer = (level + 1, outer) if m.start() < outer else (0, m.end(2))
-        values = [QUERY.split(m[2], maxsplit=1)[0].rstrip(".")] if level < NESTED else []
-        values += [x[0] for x in [PART.match(m[2]) if level < NESTED else INNER.match(m[2])] if x and x[0] not in values]
+        level = level + 1 if m.start() < outer else 0
+        values = []
+        if level < NESTED:  # a run is read to its end so many times at most
+            whole = WHOLE.match(text, at)[0]
+            outer = outer if level else at + len(whole)
+            values.append(QUERY.split(whole, maxsplit=1)[0].rstrip("."))
+        x = PART.match(whole) if level < NESTED else INNER.match(text, at)
+        if x and x[0] not in values:
+            values.append(x[0])
         for s in values:
             if len(s) < 8 or not re.search("[0-9A-Za-z]", s):
                 continue
@@ -170,12 +177,13 @@ def _best(opens: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarr
     bounds = np.append(np.flatnonzero(opens), len(opens))
     keep = np.ones(len(opens), bool)
     for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
-        held: list[tuple[int, int]] = []
+        held: list[tuple[int, int]] = []  # in order, none over another
         for k in sorted(range(bounds[i], bounds[i + 1]), key=lambda k: (-score[k], start[k], -end[k])):
             a, b = int(start[k]), int(end[k])
-            keep[k] = all(b <= x or y <= a for x, y in held)
+            at = bisect_left(held, (a, a))
+            keep[k] = (at == 0 or held[at - 1][1] <= a) and (at == len(held) or b <= held[at][0])
             if keep[k]:
-                held.append((a, b))
+                held.insert(at, (a, b))
     return np.flatnonzero(keep)
 
 
