@@ -83,6 +83,7 @@ def _lines_of(*fields: tuple[str, Column], body: Column) -> Column:
 
 
 def _described() -> list[tuple[str, Column]]:
+    # The headings of a chunk's text.
     return [(n, F.col(c)) for n, c in (("File", "file_path"), ("Language", "language"), ("Type", "chunk_type"), ("Symbol", "symbol_name"), ("Parent", "parent_symbol"))]
 
 

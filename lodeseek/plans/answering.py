@@ -6,7 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import lexical_text
@@ -99,10 +99,11 @@ def check_questions(questions: DataFrame) -> None:
         raise ValueError("each question needs a text and an id of its own")
 
 
-def answer(retriever: Retriever, questions: DataFrame, request: Request = Request(), generator: Generator = FirstSource()) -> tuple[DataFrame, DataFrame]:
+def answer(retriever: Retriever, questions: DataFrame, request: Request = Request(), generator: Generator = FirstSource(), watch: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, evidence). answers: query_id, query_text, prompt, n_sources, answer, cited, unknown, valid.
 
     Questions without evidence, and all in a dry run, keep a null answer that is not valid; no text is generated for them.
+    watch counts, in the run that makes the answers, n_questions, n_without_evidence, n_sources, n_answered and n_valid.
     """
     check_questions(questions)
     ranking = E.in_scope(retriever.retrieve(questions, request.method, request.candidates), request.scope)
@@ -110,4 +111,8 @@ def answer(retriever: Retriever, questions: DataFrame, request: Request = Reques
     rows = questions.select("query_id", "query_text").join(E.contexts(found), "query_id", "left")
     rows = rows.select("query_id", "query_text", E.prompt(F.col("query_text"), F.col("context")).alias("prompt"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
     made = F.lit(None).cast("string") if request.dry_run else F.when(F.col("n_sources") > 0, generator.answer(E.INSTRUCTIONS, F.col("prompt")))
-    return E.validated(rows.withColumn("answer", made), found), found
+    answers = E.validated(rows.withColumn("answer", made), found)
+    if watch is not None:
+        counts = {"n_without_evidence": F.col("n_sources") == 0, "n_answered": F.col("answer").isNotNull(), "n_valid": F.col("valid")}
+        answers = answers.observe(watch, F.count("*").alias("n_questions"), F.sum("n_sources").alias("n_sources"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    return answers, found
