@@ -46,6 +46,26 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of df that keep marks, batch by batch, with all columns.
+
+    Spark reads the names of the columns it hands over as expressions, in which a dot is an access to a field. So columns
+    travel under numbers, and keep sees their names.
+    """
+    names = df.columns
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(keep(batch.rename_columns(names))))
+
+    kinds = ", ".join(f"`{i}` {kind}" for i, (_, kind) in enumerate(df.dtypes))
+    return per_batch(df.toDF(*map(str, range(len(names)))), run, kinds).toDF(*names)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import ALNUM_TABLE, per_batch, text_column, texts, written
+from lodeseek.llm.common import ALNUM_TABLE, kept_rows, per_batch, text_column, texts, written
 
 WINDOW = 10
 #: Text of the items that are broadcast at once: 2,000,000 words at most, of 50 bytes or so.
@@ -324,17 +324,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     The test runs where the rows are: the texts of one block are judged in the task that reads them, and
     a row goes on with its columns, so nothing is shuffled.
     """
-    names, kinds = docs.columns, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     for items in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Suffixes(items, window))
 
-        def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+        def keep(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
             tests = shared.value
             numbers, first = _numbered(batch, tests)
             position, _ = search(tests, *suffix_array(numbers, tests))
-            keep = np.ones(batch.num_rows, bool)
-            keep[np.searchsorted(first, position, side="right") - 1] = False
-            yield batch.filter(pa.array(keep))
+            fine = np.ones(batch.num_rows, bool)
+            fine[np.searchsorted(first, position, side="right") - 1] = False
+            return fine
 
-        docs = per_batch(docs.select(names), run, kinds)
+        docs = kept_rows(docs, keep)
     return docs

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import per_batch, text_column, written
+from lodeseek.llm.common import per_batch, quoted, text_column, written
 
 MIN_WORDS = 3
 #: Earlier holders of a run that a document is aligned with, by rounds.
@@ -329,12 +329,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True)
     cut = written((first_cuts if first_only else cuts)(docs, min_words), "cuts")
     columns = docs.columns
     text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_key"), text.alias("own_text"))
+    rows = docs.select(F.struct(*map(quoted, columns)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_key"), text.alias("own_text"))
     met = rows.join(cut.hint("shuffle_hash"), (F.col("own_id") == F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
     lines = F.split("own_text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("cut", i), F.lit(False))), "\n")
     new = F.when(F.col("cut").isNull(), F.col("own_text")).otherwise(kept)
-    fields = [new.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns]
+    fields = [new.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
     removed = F.coalesce(F.size(F.filter("cut", lambda x: x)), F.lit(0))
     n_lines = F.when(F.col("own_text").isNull(), 0).otherwise(F.size(lines))
     return met.select(F.struct(*fields).alias("row"), n_lines.cast("long").alias("n_lines"), F.when(F.col("cut").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))

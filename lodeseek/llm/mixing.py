@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import written
+from lodeseek.llm.common import quoted, written
 
 BLANK, FILLED = r"[\x20\x09-\x0D]*", r"[^\x20\x09-\x0D]+"
 SEEDS = 32
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150,
 def emit(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
     """(row, copy): the mixed corpus, every row of docs as often as mix() takes it, copies counted from 1. docs is read twice; only rates are joined to it."""
     rows = written(sized(docs), "sizes")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    row = F.struct(*map(quoted, docs.columns)).alias("row")
     whole = docs.select(row, F.col("source").cast("string").alias("source"), *_drawn(F.col("doc_id"), F.col("text")))
     found = _with_source(whole, plan(rows, weights, percent, most)).withColumn("n_copies", _copies(F.col("seed")))
     return found.where("n_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import group_bounds, per_batch, signed, texts, written
+from lodeseek.llm.common import group_bounds, per_batch, quoted, signed, texts, written
 from lodeseek.llm.components import components
 from lodeseek.llm.simhash import KEPT_ID, KEPT_KEY, fingerprints, leaders, near_links, shingle_set, shingle_sets
 
@@ -135,7 +135,7 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = WOR
     members = written(shingle_sets(several, words, columns), "members")
     alone = firsts.join(groups.select(F.col("node").alias("key")), "key", "left_anti").select("doc_id", F.col("key").alias("text_key"))
     kept = written(alone.unionByName(leaders(members, 64, similarity)), "kept").toDF(KEPT_ID, KEPT_KEY)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias(KEPT_ID), key.alias(KEPT_KEY))
+    row = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").alias(KEPT_ID), key.alias(KEPT_KEY))
     found = row.join(kept, [KEPT_ID, KEPT_KEY], "left_semi")
     twice = own.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(KEPT_ID), F.col("key").alias(KEPT_KEY))
     twice = written(twice.join(kept, [KEPT_ID, KEPT_KEY], "left_semi"), "repeated")

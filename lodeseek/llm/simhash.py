@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import bits_set, group_bounds, per_batch, shuffle_parts, signed, text_column, texts, written
+from lodeseek.llm.common import bits_set, group_bounds, per_batch, quoted, shuffle_parts, signed, text_column, texts, written
 from lodeseek.llm.components import components
 
 SHINGLE = 3
@@ -381,4 +381,4 @@ def keep_first(docs: DataFrame, similarity: float | None = None, words: int = SE
     if not twice.isEmpty():
         again = named.join(twice, [KEPT_ID, KEPT_KEY], "left_semi").dropDuplicates([KEPT_ID, KEPT_KEY])
         named = named.join(twice, [KEPT_ID, KEPT_KEY], "left_anti").unionByName(again)
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return named.select(*map(quoted, docs.columns)).unionByName(docs.where("doc_id IS NULL"))

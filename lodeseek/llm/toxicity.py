@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import per_batch, text_column, written
+from lodeseek.llm.common import kept_rows, per_batch, text_column, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Most labelled rows that training reads.
@@ -329,10 +329,9 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score `threshold` or more; columns and other rows unchanged, nothing shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
         texts = batch.column("text").cast(pa.string()).to_pylist()
-        yield batch.filter(pa.array([shared.value.score(t or "") < threshold for t in texts]))
+        return np.array([shared.value.score(t or "") < threshold for t in texts])
 
-    return per_batch(docs, run, kinds)
+    return kept_rows(docs, keep)
