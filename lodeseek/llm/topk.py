@@ -4,9 +4,12 @@ A vector is cut into segments; means and deviations of two vectors' segments bou
 below: |q - x|^2 >= sum of length * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2), and so their inner product
 from above. Levels go from few long segments to pairs of components, and on to levels where a part of the segments is
 down to one component each, whose mean says all. A candidate whose bound at one level is under the query's
-k-th best score so far is out; the rest go on, and what survives the last level gets its exact score.
-Each batch of candidates first scores those with a query's highest bounds, so that the k-th best score is a good one
-before anything is judged by it. Vectors are integers, so scores are exact.
+k-th best score so far is out; only the rest go on to the next level, and what survives the last gets its exact score.
+At each level the candidates with a query's highest bounds are scored first, so that the k-th best score is a good one
+before others are judged by it. Vectors are integers, so scores are exact.
+
+`Search.columns` counts what is multiplied. It stays under the dense product where neighbouring components are alike or
+vectors lie in clusters. Between random vectors segment means say little until pairs, and it is more than the dense product.
 
 Queries come in blocks of bounded size, one job for each. A task holds one block and streams its part of the
 candidates; k rows for each query and task are written, and all meet in the end.
@@ -66,7 +69,8 @@ class Search:
         self.least = np.full(len(ids), -np.inf)
         self.score = np.zeros((len(ids), 0))
         self.name = np.zeros((len(ids), 0), np.int64)
-        self.compared = self.survived = 0
+        #: Pairs that came by, pairs that got an exact score, and columns multiplied for bounds and scores.
+        self.compared = self.survived = self.columns = 0
 
     def add(self, names: np.ndarray, x: np.ndarray) -> None:
         """Bring candidates; a query's own row is no candidate of it."""
@@ -82,9 +86,8 @@ class Search:
         other = self.ids[part, None] != names[None, :]
         exact = np.full(other.shape, -np.inf)
         self.compared += other.size
-        # the candidates of the highest bounds among pairs come first
-        pairs = next(i for i, b in enumerate(self.levels) if np.diff(b).max() <= 2)
-        high = np.where(other, stats[pairs] @ own[pairs].T + slack, -np.inf)
+        high = np.where(other, stats[0] @ own[0].T + slack, -np.inf)
+        self.columns += high.size * stats[0].shape[1]
         most = min(len(names), 2 * self.k)
         row = np.repeat(np.arange(len(high)), most)
         col = np.argpartition(high, len(names) - most, axis=1)[:, len(names) - most :].ravel()
@@ -94,21 +97,31 @@ class Search:
         self.survived += len(row)
         least = np.maximum(self.least[part], self._kth(exact, names, row, col))
         other[row, col] = False
-        q = c = None
-        for s, o in zip(stats, own):
-            if q is None:  # most are left: one product for all
-                other &= s @ o.T + slack >= least[:, None]
-                if np.count_nonzero(other) * 8 < other.size:
-                    q, c = np.nonzero(other)
-            else:
-                keep = self._products(s, o, q, c) + slack[c] >= least[q]
-                q, c = q[keep], c[keep]
-        if q is None:
-            q, c = np.nonzero(other)
+        q, c = np.nonzero(other & (high >= least[:, None]))
+        for s, o in zip(stats[1:], own[1:]):
+            bound = self._products(s, o, q, c) + slack[c]
+            first = self._highest(q, bound, most)
+            exact[q[first], c[first]] = self._products(queries, x, q[first], c[first])
+            self.survived += len(first)
+            row, col = np.append(row, q[first]), np.append(col, c[first])
+            least = np.maximum(least, self._kth(exact, names, row, col))
+            keep = bound >= least[q]
+            keep[first] = False
+            q, c = q[keep], c[keep]
         self.survived += len(q)
         exact[q, c] = self._products(queries, x, q, c)
         return exact
 
+    @staticmethod
+    def _highest(q: np.ndarray, bound: np.ndarray, most: int) -> np.ndarray:
+        """Where the `most` highest bounds of each query are; q ascends."""
+        starts = group_bounds(q)
+        found = [np.zeros(0, np.int64)]
+        for a, b in zip(starts[:-1], starts[1:]):
+            n = min(most, b - a)
+            found.append(a + np.argpartition(bound[a:b], b - a - n)[b - a - n :])
+        return np.concatenate(found)
+
     def _kth(self, exact: np.ndarray, names: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
         """The k-th best of the given scores, each name once; -inf where there are fewer names."""
         if not len(row):
@@ -125,11 +138,12 @@ class Search:
         out[row[at]] = score[at]
         return out
 
-    @staticmethod
-    def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def _products(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Inner products of rows i of a with rows j of b; where most pairs are asked for, by one matrix product."""
         if len(i) * 8 > len(a) * len(b):
+            self.columns += len(a) * len(b) * a.shape[1]
             return (a @ b.T)[i, j]
+        self.columns += len(i) * a.shape[1]
         return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[i[k : k + 65536]], b[j[k : k + 65536]]) for k in range(0, len(i), 65536))])
 
     def _merge(self, exact: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
