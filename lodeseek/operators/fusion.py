@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.ranking import PLACES, ranked
 from lodeseek.operators import vector
-from lodeseek.operators.lexical import LexicalIndex
+from lodeseek.operators.lexical import B, K1, LexicalIndex
 from lodeseek.sources.tables import written
 
 RRF_K = 60
@@ -77,19 +77,19 @@ def _ranks(scores: DataFrame, asked: DataFrame, head: DataFrame) -> DataFrame:
     return asked.select("query_id", "chunk_id", "score").join(ranks, ["query_id", "chunk_id"])
 
 
-def hybrid(index: LexicalIndex, embeddings: DataFrame, queries: DataFrame, k: int | None = 10, rrf_k: int = RRF_K) -> DataFrame:
+def hybrid(index: LexicalIndex, embeddings: DataFrame, queries: DataFrame, k: int | None = 10, rrf_k: int = RRF_K, k1: float = K1, b: float = B) -> DataFrame:
     """fuse() of the full vector ranking and of all chunks with a lexical score, for queries(query_id, query_text, embedding).
 
     With k the complete rankings are not made: see above. A query's candidates are 2 * (rrf_k + 2 * k) chunks at most.
     """
     asked, words = queries.select("query_id", "embedding"), queries.select("query_id", "query_text")
     if k is None:
-        return fuse(vector.search(embeddings, asked, None), index.search(words, None), None, rrf_k, checked=True)
+        return fuse(vector.search(embeddings, asked, None), index.search(words, None, k1, b), None, rrf_k, checked=True)
     if k <= 0 or rrf_k <= 0:
         raise ValueError("k and rrf_k must be positive")
     depth, key = rrf_k + 2 * k, ["query_id", "chunk_id"]
     by_vector = vector.scores(embeddings, asked)
-    by_terms = written(index.scores(words))  # a shuffle made these, so they are kept; vectors are scored where they are read
+    by_terms = written(index.scores(words, k1, b))  # a shuffle made these, so they are kept; vectors are scored where they are read
     heads = [written(ranked(s, "score", "chunk_id", k=depth).select(*key, "rank", "score")) for s in (by_vector, by_terms)]
     known = [h.select(*key, (1 / (rrf_k + F.col("rank"))).alias(f"part_{i}")) for i, h in enumerate(heads)]
     both = known[0].join(known[1], key, "full").na.fill(0.0, ["part_0", "part_1"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,14 +36,13 @@ def build(chunks: DataFrame, embedder: vector.Embedder, path: str) -> VectorInde
     info = snapshots.describe(chunks, *settings(embedder))
     rows = vector.embed(chunks.select("chunk_id", embedding_text().alias("text")), embedder).drop("text")
     rows.write.mode("overwrite").parquet(f"{path}/vectors")
-    spark = chunks.sparkSession
-    spark.createDataFrame([tuple(asdict(info).values())], "repository string, commit_hash string, n_chunks long, corpus string, settings string").write.mode("overwrite").parquet(f"{path}/info")
-    return load(spark, path)
+    snapshots.store(chunks.sparkSession, info, path)
+    return load(chunks.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str, expected: IndexInfo | None = None) -> VectorIndex:
     """The index at path. Vectors that are not finite, unit and of one size, ids that repeat, another count than stored, or another snapshot or setting than expected are errors."""
-    info = IndexInfo(**spark.read.parquet(f"{path}/info").first().asDict())
+    info = snapshots.stored(spark, path)
     if expected is not None:
         snapshots.check_expected(info, expected)
     rows = spark.read.parquet(f"{path}/vectors")

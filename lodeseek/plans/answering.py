@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions.text import lexical_text
 from lodeseek.operators import evidence as E
 from lodeseek.operators import fusion, reranking, vector
+from lodeseek.operators.hybrid_index import HybridIndex
 from lodeseek.operators.lexical import LexicalIndex
 from lodeseek.plans.snapshots import IndexInfo, check_together, settings_fingerprint
 
@@ -73,6 +74,11 @@ class Retriever:
     index_info: IndexInfo | None = None
     embeddings_info: IndexInfo | None = None
 
+    @classmethod
+    def over(cls, chunks: DataFrame, both: HybridIndex, score: Callable[[Column, Column], Column] = vector.overlap) -> Retriever:
+        """A retriever over stored indexes, which are of one snapshot. Questions need the vectors of the same embedder."""
+        return cls(chunks, both.lexical.index, both.vectors.vectors, score, both.lexical.info, both.vectors.info)
+
     def retrieve(self, questions: DataFrame, method: str, k: int) -> DataFrame:
         """(query_id, rank, score, chunk columns) of questions(query_id, query_text[, embedding])."""
         if method in ("hybrid", "reranked") and self.index_info and self.embeddings_info:

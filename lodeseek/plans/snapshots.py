@@ -11,7 +11,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.canonical import json_array
@@ -55,6 +55,16 @@ def describe(chunks: DataFrame, *settings) -> IndexInfo:
     return IndexInfo(rows[0].repository, commit, rows[0].n_chunks, rows[0].fingerprint, settings_fingerprint(*settings))
 
 
+def store(spark: SparkSession, info: IndexInfo, path: str) -> None:
+    """Write an index's info beside its tables."""
+    row = spark.createDataFrame([tuple(asdict(info).values())], "repository string, commit_hash string, n_chunks long, corpus string, settings string")
+    row.write.mode("overwrite").parquet(f"{path}/info")
+
+
+def stored(spark: SparkSession, path: str) -> IndexInfo:
+    return IndexInfo(**spark.read.parquet(f"{path}/info").first().asDict())
+
+
 def check_expected(info: IndexInfo, expected: IndexInfo) -> None:
     for name, value in asdict(expected).items():
         if value is not None and getattr(info, name) != value:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions.ranking import numbered
-from lodeseek.operators import blocks, chunking, evaluation, evidence, fusion, intervals, lexical, reranking, vector, vector_index
+from lodeseek.operators import blocks, chunking, evaluation, evidence, fusion, hybrid_index, intervals, lexical, reranking, vector, vector_index
 from lodeseek.plans import answering, snapshots, tree
 from lodeseek.sources import artifacts, policy, repository, tables
 
@@ -468,6 +468,21 @@ def vector_index_check(spark, sf_dir):
     return row.crossJoin(F.broadcast(vector.validation(made.vectors)))  # one row each
 
 
+@query(f"""WITH {_CHUNKS}, {_FOLD.format(m='')}, s AS (SELECT sha256('["lexical-1","tokens-1","chunk-text-1",1.5,0.75]') AS lexical_settings, sha256('["vectors-1","HashingEmbedder",64,8192]') AS vector_settings)
+    SELECT repository, n_chunks, fingerprint AS corpus, lexical_settings, vector_settings, sha256('["hybrid","rrf-1",60,"' || lexical_settings || '","' || vector_settings || '"]') AS settings,
+        (SELECT count(*) FROM benchmark WHERE text IS NOT NULL) * least(n_chunks, 10) AS n_found FROM fp, s""")
+def hybrid_index_check(spark, sf_dir):
+    """A lexical and a vector index of the chunks, stored, opened as one and asked every item: snapshot, settings, and how many rows come of it."""
+    rows, embedder, at = chunks(spark, sf_dir), vector.HashingEmbedder(64), [tables.workspace(spark) for _ in range(2)]
+    hybrid_index.build(rows, at[0])
+    vector_index.build(rows, embedder, at[1])
+    both = hybrid_index.open_both(spark, *at)
+    found = both.search(items(spark, sf_dir), embedder).agg(F.count("*").alias("n_found"))
+    info, of = both.info, {"lexical_settings": both.lexical.info.settings, "vector_settings": both.vectors.info.settings}
+    columns = {"repository": info.repository, "n_chunks": info.n_chunks, "corpus": info.corpus, **of, "settings": info.settings}
+    return found.select(*(F.lit(v).alias(c) for c, v in columns.items()), "n_found")
+
+
 @query(f"""WITH {_CHUNKS}, {_windows(40, 10, _FILES, '2')}, hashed2 AS (SELECT *, sha256(content) AS content_hash FROM parts2),
     chunks2 AS (SELECT *, sha256('["corpus",null,"' || file_path || '","file",null,null,' || start_line || ',' || end_line || ',' || coalesce(CAST(part_index AS VARCHAR), 'null') || ',' || part_count || ',"' || content_hash || '"]') AS chunk_id FROM hashed2),
     {_FOLD.format(m='')}, {_FOLD.format(m='2')}
