@@ -4,9 +4,13 @@
 reduced to their first document. What documents meet by are runs: the shortest sequences of lines that follow each
 other and together weigh `min_words`, one line where it is long enough. Every place of every common block is in a run that
 both documents hold. A document is first aligned with the first holder of each of its runs, then, for runs that
-still have an uncut place, with the next ones, `HOLDERS` in all. What is still uncut then and has more holders before
-it is a passage that stands in other places everywhere: it is cut without an alignment, so no holder is
-left out and a run that n documents share makes no more than HOLDERS * n pairs. Repeated long lines are numbered in each document.
+still have an uncut place, with the next ones, `HOLDERS` in all. Runs that are still uncut then and have more holders
+stand in other places everywhere. For them the holders are reduced to outlines: the lines that another of these holders
+has too, in order, with a mark for what lies between. Alignments depend on outlines alone, so the first document of each
+outline stands for all that have it: a later one is aligned with it and loses all that any alignment could take. Only
+first documents go on, against four times as many others in each round, until nothing open has an earlier one left.
+Every alignment that could cut a line is so decided, and no line goes without one. With `moved` the runs that are open
+after `HOLDERS` holders are cut without an alignment instead. Repeated long lines are numbered in each document.
 
 With `first_only` a line is rare in a document that holds it once and where it has `min_words` words, and each
 document is paired only with the first holder of each of its rare lines.
@@ -32,6 +36,8 @@ MIN_WORDS = 3
 #: Earlier holders of a run that a document is aligned with, by rounds.
 ROUNDS = (1, 4, 16)
 HOLDERS = ROUNDS[-1]
+#: Pairs of one first holder that a join keeps together; more are split, and its lines copied to each part.
+PAIRS = 4096
 #: Scripts that put no blanks between words.
 _NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _PRIME = (1 << 61) - 1
@@ -204,9 +210,14 @@ def pairs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def aligned(two: DataFrame, seqs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, text_key, place, size): the places that alignments of two(first_id, first_key, doc_id, text_key) cut, and how many lines there are."""
-    kind = dict(seqs.dtypes)["doc_id"]
+    kind, ends = dict(seqs.dtypes)["doc_id"], ["first_id", "first_key"]
+    parts = written(two.groupBy(*ends).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 1"), "parts")
+    n = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("doc_id", "text_key"), n).cast("int").alias("part")
     first = seqs.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("lines").alias("first_lines"))
-    both = two.join(seqs, ["doc_id", "text_key"]).join(first, ["first_id", "first_key"])
+    first = first.join(parts, ends, "left").select(*ends, "first_lines", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    split = two.join(parts, ends, "left").select(*ends, "doc_id", "text_key", part)
+    both = split.join(seqs, ["doc_id", "text_key"]).join(first, [*ends, "part"])
 
     def align(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         which, places, sizes = [], [], []
@@ -271,9 +282,29 @@ def _open(keys: DataFrame, seqs: DataFrame, cut: DataFrame, min_words: int, plac
     return per_batch(rows, run, f"doc_id {kind}, text_key long, place int, size int" if places else f"key long, doc_id {kind}, text_key long")
 
 
-def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def outlines(seqs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, outline): of each sequence the lines that another one has too, with a mark for what lies between, as 128 bits of hash."""
+    kind, name = dict(seqs.dtypes)["doc_id"], ["doc_id", "text_key"]
+    held = seqs.select(*name, F.explode(F.array_distinct("lines")).alias("line"))
+    known = held.join(held.groupBy("line").count().where("count > 1"), "line", "left_semi").groupBy(*name).agg(F.collect_list("line").alias("known"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for lines, known in zip(batch.column("lines").to_pylist(), batch.column("known").to_pylist()):
+            known, last, text = set(known or ()), -1, []
+            for k, x in enumerate(lines):
+                if x in known:
+                    text.append(("," if k == last + 1 else ";") + str(x))
+                    last = k
+            out.append(xxhash.xxh3_128_digest("".join(text)[1:]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in name), pa.array(out, pa.binary())], names=[*name, "outline"])
+
+    return per_batch(seqs.join(known, name, "left").select(*name, "lines", "known"), run, f"doc_id {kind}, text_key long, outline binary")
+
+
+def cuts(docs: DataFrame, min_words: int = MIN_WORDS, moved: bool = True) -> DataFrame:
     """(doc_id, text_key, cut array<boolean>): for documents that lose lines, which ones, by all earlier documents."""
-    name = ["doc_id", "text_key"]
+    name, ends = ["doc_id", "text_key"], ["first_id", "first_key"]
     docs = text_column(docs.select("doc_id", "text"))
     every = written(sequences(docs, min_words).dropDuplicates(name), "sequences")
     kind = dict(every.dtypes)["doc_id"]
@@ -294,31 +325,55 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     held = written(per_batch(seqs, keys, f"key long, doc_id {kind}, text_key long"), "runs")
     shared = written(held.join(held.groupBy("key").count().where("count > 1"), "key", "left_semi"), "shared")
-    order = Window.partitionBy("key").orderBy(*name)
-    holders = written(shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HOLDERS + 1), "holders")
-    todo, places, done, last = shared, None, None, 0
-    for upto in ROUNDS:
-        met = holders.where((F.col("rank") > last) & (F.col("rank") <= upto)).select("key", F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
-        two = todo.join(met, "key").where(F.struct(F.col("first_id").alias("doc_id"), F.col("first_key").alias("text_key")) < F.struct(*name)).select("first_id", "first_key", *name).distinct()
-        if done is not None:
-            two = two.join(done, ["first_id", "first_key", *name], "left_anti")
-        two = written(two, "pairs")
+    as_first = [F.col(c).alias(x) for c, x in zip(name, ends)]
+    before = F.struct(*(F.col(x).alias(c) for c, x in zip(name, ends))) < F.struct(*name)
+
+    def first_of(rows: DataFrame, upto: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(*name))
+        return written(rows.select("key", *name).withColumn("rank", rank).where(F.col("rank") <= upto + 1), "holders")
+
+    places, done = None, None
+
+    def align(two: DataFrame) -> DataFrame:
+        """The cuts of all pairs so far, these included."""
+        nonlocal places, done
+        two = written(two if done is None else two.join(done, [*ends, *name], "left_anti"), "pairs")
         found = written(aligned(two, seqs, min_words), "places")
         done = two if done is None else done.unionByName(two)
         places = found if places is None else places.unionByName(found)
-        cut = written(flagged(places), "flags")
+        return written(flagged(places), "flags")
+
+    def meet(todo: DataFrame, holders: DataFrame, last: int, upto: int) -> tuple[DataFrame, DataFrame]:
+        """The cuts after the holders of ranks last + 1 to upto, and what is open and has more."""
+        met = holders.where((F.col("rank") > last) & (F.col("rank") <= upto)).select("key", *as_first)
+        cut = align(todo.join(met, "key").where(before).select(*ends, *name).distinct())
         # a document of rank r has r - 1 earlier holders
         rest = todo.join(holders.where(F.col("rank") <= upto + 1).select("key", *name), ["key", *name], "left_anti")
-        todo, last = written(_open(rest, seqs, cut, min_words), "open"), upto
+        return cut, written(_open(rest, seqs, cut, min_words), "open")
+
+    holders, todo, last = first_of(shared, HOLDERS), shared, 0
+    for upto in ROUNDS:
+        cut, todo = meet(todo, holders, last, upto)
         if todo.isEmpty():
-            break
-    else:
-        places = places.unionByName(written(_open(todo, seqs, cut, min_words, places=True), "moved"))
-        cut = flagged(places)
+            return cut.unionByName(copies)
+        last = upto
+    if moved:
+        return flagged(places.unionByName(written(_open(todo, seqs, cut, min_words, places=True), "moved"))).unionByName(copies)
+    of_open = written(shared.join(todo.select("key").distinct(), "key", "left_semi"), "holders-of-open")
+    outline = written(outlines(seqs.join(of_open.select(*name).distinct(), name, "left_semi")), "outlines")
+    alike = outline.join(outline.groupBy("outline").agg(F.min(F.struct(*name)).alias("x")), "outline")
+    alike = written(alike.select(*name, *(F.col(f"x.{c}").alias(x) for c, x in zip(name, ends))), "alike")
+    cut = align(todo.select(*name).distinct().join(alike, name).where(before).select(*ends, *name))
+    own = alike.where(~before).select(*name)
+    todo, of_open = (written(x.join(own, name, "left_semi"), "of-outlines") for x in (todo, of_open))
+    last, upto = 0, 4 * HOLDERS
+    while not todo.isEmpty():
+        cut, todo = meet(todo, first_of(of_open.join(todo.select("key").distinct(), "key", "left_semi"), upto), last, upto)
+        last, upto = upto, 4 * upto
     return cut.unionByName(copies)
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True, moved: bool = True) -> DataFrame:
     """(row, n_lines, n_removed) for every row of docs(doc_id, text, ...): row is the document's struct with its new text.
 
     Lines end at \\n and are compared without the white space around them. Rows that agree on doc_id and
@@ -326,7 +381,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True)
     is earlier. Rows without doc_id or text stay as they are and cut nothing; a null text has no lines, an
     empty one has one. A document may lose all its lines: its text is then empty.
     """
-    cut = written((first_cuts if first_only else cuts)(docs, min_words), "cuts")
+    cut = written(first_cuts(docs, min_words) if first_only else cuts(docs, min_words, moved), "cuts")
     columns = docs.columns
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*map(quoted, columns)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_key"), text.alias("own_text"))
@@ -340,6 +395,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True)
     return met.select(F.struct(*fields).alias("row"), n_lines.cast("long").alias("n_lines"), F.when(F.col("cut").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
 
 
-def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True) -> DataFrame:
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, first_only: bool = True, moved: bool = True) -> DataFrame:
     """docs with the aligned blocks cut from the texts of later documents; all rows stay."""
-    return dedup(docs, min_words, first_only).select("row.*")
+    return dedup(docs, min_words, first_only, moved).select("row.*")

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"), first_only=False)
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"), first_only=False, moved=False)
     return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("row.text"), 256).alias("kept_sha256"))
 
 
