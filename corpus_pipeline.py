@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that an earlier document holds, and all rows stay; n_chars, where there is such a column, follows the new text."""
-    found = line_dedup.dedup(docs, first_only=False)
+    found = line_dedup.dedup(docs, first_only=False, moved=False)
     fields = {c: F.col("row").getField(c) for c in docs.columns}
     if "n_chars" in fields:
         n = F.when(F.col("n_removed") > 0, F.char_length(fields["text"])).otherwise(fields["n_chars"])
