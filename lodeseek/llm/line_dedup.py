@@ -212,12 +212,15 @@ def aligned(two: DataFrame, seqs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, text_key, place, size): the places that alignments of two(first_id, first_key, doc_id, text_key) cut, and how many lines there are."""
     kind, ends = dict(seqs.dtypes)["doc_id"], ["first_id", "first_key"]
     parts = written(two.groupBy(*ends).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 1"), "parts")
-    n = F.coalesce("parts", F.lit(1))
-    part = F.pmod(F.xxhash64("doc_id", "text_key"), n).cast("int").alias("part")
     first = seqs.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("lines").alias("first_lines"))
-    first = first.join(parts, ends, "left").select(*ends, "first_lines", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
-    split = two.join(parts, ends, "left").select(*ends, "doc_id", "text_key", part)
-    both = split.join(seqs, ["doc_id", "text_key"]).join(first, [*ends, "part"])
+    later = two.join(seqs, ["doc_id", "text_key"])
+    if parts.isEmpty():
+        both = later.join(first, ends)
+    else:
+        part = F.pmod(F.xxhash64("doc_id", "text_key"), "parts").cast("int").alias("part")
+        copied = first.join(parts, ends).select(*ends, "first_lines", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        hot = later.join(parts, ends).select(*later.columns, part).join(copied, [*ends, "part"]).drop("part")
+        both = later.join(parts, ends, "left_anti").join(first, ends).unionByName(hot)
 
     def align(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         which, places, sizes = [], [], []
