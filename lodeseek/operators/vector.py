@@ -8,12 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions import vectors as V
 from lodeseek.functions.ranking import ranked
 from lodeseek.functions.text import tokens
+from lodeseek.operators import scan
 
 
 def unit_vectors(rows: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -33,26 +36,66 @@ def validation(rows: DataFrame) -> DataFrame:
     return out.select("n_vectors", "dimension", (F.col("least") == F.col("dimension")).alias("one_size"), "n_not_finite", "n_not_unit")
 
 
-def scores(rows: DataFrame, queries: DataFrame, block: int = 2048) -> DataFrame:
-    """(query_id, chunk_id, score) of all rows(chunk_id, embedding) for queries(query_id, embedding).
+class Cosines(scan.Scorer):
+    """Products of unit vectors. A product of matrices tells which pairs matter; those are added up one component after the other, as V.dot does."""
+
+    reads, room = ("embedding",), 1e-12
+
+    def __init__(self, queries: pa.Table):
+        self.queries = queries.column("query_id").combine_chunks()
+        self.asked = {d: (c, x) for d, c, x in _matrices(queries.column("embedding").combine_chunks())}
+
+    def scores(self, rows: pa.RecordBatch) -> np.ndarray:
+        found = np.full((rows.num_rows, len(self.queries)), -np.inf)
+        for d, at, x in _matrices(rows.column("embedding")):
+            if d in self.asked:
+                columns, asked = self.asked[d]
+                found[np.ix_(at, columns)] = x @ asked.T
+        return found
+
+    def exact(self, rows: pa.RecordBatch, found: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        for d, at, x in _matrices(rows.column("embedding")):
+            if d in self.asked:
+                columns, asked = self.asked[d]
+                line = np.full(rows.num_rows, -1)
+                line[at] = np.arange(len(at))
+                column_of = np.full(len(self.queries), -1)
+                column_of[columns] = np.arange(len(columns))
+                for here in np.array_split(np.flatnonzero(line[row] >= 0), 1 + len(row) // 65_536):
+                    out[here] = np.cumsum(x[line[row[here]]] * asked[column_of[column[here]]], axis=1)[:, -1]
+        return out
+
+
+def _matrices(vectors: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, places, matrix) of the vectors of each dimension."""
+    sizes, flat = pc.list_value_length(vectors).to_numpy(zero_copy_only=False), pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
+    starts, out = np.cumsum(sizes) - sizes, []
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        out.append((int(d), at, flat[(starts[at][:, None] + np.arange(d)).ravel()].reshape(len(at), d)))
+    return out
 
-    Queries meet the rows in blocks of about `block` of them, each broadcast (block times the dimension in doubles at most).
-    """
-    rows, asked = unit_vectors(rows), unit_vectors(queries)
+
+def scanned(rows: DataFrame, queries: DataFrame, block: int = scan.BLOCK) -> scan.Scan:
+    """The scan of rows(chunk_id, embedding) for queries(query_id, embedding): blocks of about `block` queries, which pass through the driver."""
+    asked = unit_vectors(queries).select("query_id", "embedding")
     n = max(1, -(-asked.count() // block))
-    found = None
-    for i in range(n):
-        part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        part = part.select("query_id", F.col("embedding").alias("asked"))
-        pairs = rows.select("chunk_id", "embedding").crossJoin(F.broadcast(part)).where(F.size("embedding") == F.size("asked"))
-        scored = pairs.select("query_id", "chunk_id", V.dot(F.col("embedding"), F.col("asked")).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
-    return found
+    parts = [asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    return scan.Scan(unit_vectors(rows).select("chunk_id", "embedding"), [Cosines(p.toArrow()) for p in parts], dict(asked.dtypes)["query_id"])
+
+
+def scores(rows: DataFrame, queries: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """(query_id, chunk_id, score) of all rows(chunk_id, embedding) for queries(query_id, embedding)."""
+    return scanned(rows, queries, block).every()
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int | None = 10, block: int = 2048) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int | None = 10, block: int = scan.BLOCK) -> DataFrame:
     """(query_id, rank, chunk_id, score) of the first k of scores(); k None: all rows."""
-    return ranked(scores(rows, queries, block), "score", "chunk_id", k=k).select("query_id", "rank", "chunk_id", "score")
+    if k is not None and k <= 0:
+        raise ValueError("k must be positive")
+    own = scanned(rows, queries, block)
+    return ranked(own.every() if k is None else own.heads(k), "score", "chunk_id", k=k).select("query_id", "rank", "chunk_id", "score")
 
 
 class Embedder(ABC):
