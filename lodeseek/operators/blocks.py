@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +35,35 @@ def _length_class(dl: str) -> Column:
     return F.floor(4 * F.log2(F.col(dl) + 1)).cast("long")
 
 
+def _of_slice(documents: pa.Table) -> pa.Table:
+    """The blocks of a slice, in order of their terms."""
+    documents = documents.combine_chunks()
+    own = documents.column("own").combine_chunks()
+    doc = pa.array(np.repeat(np.arange(documents.num_rows), pc.list_value_length(own).to_numpy(zero_copy_only=False)))
+    met = pc.list_flatten(own)
+    rows = pa.table({"term": met.field("term"), "chunk_id": documents.column("chunk_id").take(doc), "tf": met.field("tf"), "dl": documents.column("dl").take(doc)})
+    rows = rows.take(pc.sort_indices(rows, [("term", "ascending"), ("chunk_id", "ascending")])).combine_chunks()
+    term, tf, dl = (rows.column(c).combine_chunks() for c in ("term", "tf", "dl"))
+    code = term.dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, int)
+    n = np.diff(np.append(starts, len(code)))
+    most, least = (f.reduceat(x.to_numpy(), starts) if len(code) else np.zeros(0) for f, x in ((np.maximum, tf), (np.minimum, dl)))
+    parts = pa.StructArray.from_arrays([rows.column("chunk_id").combine_chunks(), tf, dl], ["chunk_id", "tf", "dl"])
+    return pa.table({
+        "term": term.take(pa.array(starts)), "slice": pa.array(np.full(len(starts), documents.column("slice")[0].as_py(), np.int64)), "n": pa.array(n, pa.int64()), "max_tf": pa.array(most, pa.int32()), "min_dl": pa.array(least, pa.int32()),
+        "postings": pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), parts),
+    })
+
+
 def build(spark: SparkSession, path: str, size: int = SLICE) -> BlockIndex:
-    """Blocks of the stored lexical index at path, beside it. A term of any frequency is grouped by slice, so no task meets all its postings."""
-    documents = lexical.lengths(spark.read.parquet(f"{path}/tokens"))
-    classes = documents.groupBy(_length_class("dl").alias("class")).agg(F.ceil(F.count("*") / size).alias("n_slices"))
-    postings = lexical.load(spark, path).postings.withColumn("class", _length_class("dl")).join(F.broadcast(classes), "class")  # a row for each class
+    """Blocks of the stored lexical index at path, beside it. Documents meet by their slice, about `size` in a task at once, so a term of any frequency is cut by slices and postings are shuffled once, inside their documents."""
+    documents = lexical.load(spark, path).documents.select("chunk_id", "dl", "own").withColumn("class", _length_class("dl"))
+    classes = documents.groupBy("class").agg(F.ceil(F.count("*") / size).alias("n_slices"))
     slice_ = F.shiftleft(F.col("class"), 40) + F.pmod(F.xxhash64("chunk_id"), "n_slices")
-    own = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("postings")
-    blocks = postings.groupBy("term", slice_.alias("slice")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), own)
-    blocks.repartitionByRange("term", "slice").sortWithinPartitions("term", "slice").write.mode("overwrite").parquet(f"{path}/blocks")
+    sliced = documents.join(F.broadcast(classes), "class").select("chunk_id", "dl", "own", slice_.alias("slice"))  # a row for each class
+    kind = dict(documents.dtypes)["chunk_id"]
+    schema = f"term string, slice long, n long, max_tf int, min_dl int, postings array<struct<chunk_id: {kind}, tf: int, dl: int>>"
+    sliced.groupBy("slice").applyInArrow(_of_slice, schema).write.mode("overwrite").parquet(f"{path}/blocks")
     return load(spark, path)
 
 
@@ -57,6 +80,16 @@ def differences(index: BlockIndex) -> DataFrame:
     return by_term.agg(F.count("*").alias("n_terms"), count("n").alias("n_postings"), count("blocks").alias("n_blocks"), count("other").alias("n_other_headers"))
 
 
+#: Wanted terms that go to every task, about 100 MB in memory; more are joined as Spark chooses.
+WANTED = 1 << 20
+
+
+def _met_where_read(wanted: DataFrame) -> DataFrame:
+    """The wanted terms, written once. Few of them go to the blocks, so that blocks are not shuffled to meet them."""
+    wanted = written(wanted)
+    return F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+
+
 @dataclass
 class BlockIndex:
     """blocks(term, slice, n, max_tf, min_dl, postings) of a lexical index."""
@@ -69,14 +102,14 @@ class BlockIndex:
 
     def bounds(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, slice, bound, n_blocks, n_postings): no document of the slice has a higher score. Reads headers alone."""
-        wanted = lexical.query_terms(queries).join(self.index.terms, "term")
+        wanted = _met_where_read(lexical.query_terms(queries).join(self.index.terms, "term"))
         met = self.blocks.select(*HEADER).join(wanted, "term").crossJoin(F.broadcast(self.index.stats.select("avg_length")))  # one row
         bound = F.sum(self._part(F.col("max_tf"), F.col("min_dl"), k1, b)) * (1 + ROOM) + ROOM
         return met.groupBy("query_id", "slice").agg(bound.alias("bound"), F.count("*").alias("n_blocks"), F.sum("n").alias("n_postings"))
 
     def scores(self, queries: DataFrame, slices: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, chunk_id, score) of all chunks in slices(query_id, slice) that hold a term of the query."""
-        wanted = slices.select("query_id", "slice").join(lexical.query_terms(queries), "query_id").join(self.index.terms, "term")
+        wanted = _met_where_read(slices.select("query_id", "slice").join(lexical.query_terms(queries), "query_id").join(self.index.terms, "term"))
         met = self.blocks.select("term", "slice", "postings").join(wanted, ["term", "slice"]).select("query_id", "qtf", "idf", F.explode("postings").alias("x"))
         met = met.crossJoin(F.broadcast(self.index.stats.select("avg_length")))  # one row
         return lexical.added(met.select("query_id", F.col("x.chunk_id").alias("chunk_id"), self._part(F.col("x.tf"), F.col("x.dl"), k1, b).alias("part")))
