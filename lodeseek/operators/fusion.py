@@ -3,14 +3,15 @@
 The first k of the fusion of two complete rankings need only the heads of both. The first k chunks of either ranking have 1 / (c + k)
 at least, c being the fusion's constant. A chunk beyond rank d in both has less than 2 / (c + d), so with d = c + 2 * k no
 such chunk is among the first k. Chunks of one head alone get their rank in the other ranking by counting who is ahead of them.
+Both rankings are scanned (see scan.py), so no table of all scores is made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.ranking import PLACES, ranked
+from lodeseek.functions.ranking import ranked
 from lodeseek.operators import vector
 from lodeseek.operators.lexical import B, K1, LexicalIndex
 from lodeseek.sources.tables import written
@@ -54,29 +55,6 @@ def fuse(first: DataFrame, second: DataFrame, k: int | None = 10, rrf_k: int = R
     return ranked(scored, "rrf_score", "chunk_id", k=k).select("query_id", "rank", "chunk_id", "rrf_score", *sides)
 
 
-#: Steps that a query's scores are counted in, from 0 to its best one.
-STEPS = 4096
-
-
-def _ranks(scores: DataFrame, asked: DataFrame, head: DataFrame) -> DataFrame:
-    """asked(query_id, chunk_id, score) with the rank that each has among scores, which head begins. Nothing is sorted.
-
-    Scores are counted in steps. Ahead are all in higher steps, and of those in a chunk's own step the ones that compare so.
-    """
-    best = head.groupBy("query_id").agg(F.max(F.abs("score")).alias("best"))
-    low = F.bround(F.col("score"), PLACES)
-    step = F.floor(low / F.when(F.col("best") > 0, F.col("best")).otherwise(F.lit(1.0)) * STEPS)
-    stepped = lambda rows, name: rows.join(F.broadcast(best), "query_id").select("query_id", step.alias("step"), F.col("chunk_id").alias(name), low.alias(f"{name}_score"))  # noqa: E731  a row for each query
-    others, mine = stepped(scores, "other"), stepped(asked, "chunk_id")
-    many = others.groupBy("query_id", "step").agg(F.count("*").alias("n"))
-    above = many.withColumn("above", F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    beside = (F.col("other_score") > F.col("chunk_id_score")) | (F.col("other_score") == F.col("chunk_id_score")) & (F.col("other") < F.col("chunk_id"))
-    close = others.join(mine, ["query_id", "step"]).where(beside).groupBy("query_id", "chunk_id").agg(F.count("*").alias("beside"))
-    met = mine.join(above.select("query_id", "step", "above"), ["query_id", "step"]).join(close, ["query_id", "chunk_id"], "left")
-    ranks = met.select("query_id", "chunk_id", (F.col("above") + F.coalesce("beside", F.lit(0)) + 1).cast("int").alias("rank"))
-    return asked.select("query_id", "chunk_id", "score").join(ranks, ["query_id", "chunk_id"])
-
-
 def hybrid(index: LexicalIndex, embeddings: DataFrame, queries: DataFrame, k: int | None = 10, rrf_k: int = RRF_K, k1: float = K1, b: float = B) -> DataFrame:
     """fuse() of the full vector ranking and of all chunks with a lexical score, for queries(query_id, query_text, embedding).
 
@@ -88,25 +66,21 @@ def hybrid(index: LexicalIndex, embeddings: DataFrame, queries: DataFrame, k: in
     if k <= 0 or rrf_k <= 0:
         raise ValueError("k and rrf_k must be positive")
     depth, key = rrf_k + 2 * k, ["query_id", "chunk_id"]
-    by_vector = vector.scores(embeddings, asked)
-    by_terms = written(index.scores(words, k1, b))  # a shuffle made these, so they are kept; vectors are scored where they are read
-    heads = [written(ranked(s, "score", "chunk_id", k=depth).select(*key, "rank", "score")) for s in (by_vector, by_terms)]
+    scans = vector.scanned(embeddings, asked), index.scanned(words, k1, b)
+    heads = [written(ranked(s.heads(depth), "score", "chunk_id", k=depth).select(*key, "rank", "score")) for s in scans]
     known = [h.select(*key, (1 / (rrf_k + F.col("rank"))).alias(f"part_{i}")) for i, h in enumerate(heads)]
     both = known[0].join(known[1], key, "full").na.fill(0.0, ["part_0", "part_1"])
     least = ranked(both.withColumn("sure", F.col("part_0") + F.col("part_1")), "sure", "chunk_id", k=k).groupBy("query_id").agg(F.min("sure").alias("least"), F.count("*").alias("n"))
     most = F.col("part_0") + F.col("part_1") + F.when((F.col("part_0") == 0) | (F.col("part_1") == 0), F.lit(1 / (rrf_k + depth + 1))).otherwise(F.lit(0.0))
     left = written(both.join(least, "query_id").where((F.col("n") < k) | (most > F.col("least") - 1e-9)).select(*key, "part_0", "part_1"))
     sides = []
-    for i, (head, scores) in enumerate(zip(heads, (by_vector, by_terms))):
+    for i, (head, scan) in enumerate(zip(heads, scans)):
         missing = written(left.where(F.col(f"part_{i}") == 0).select(*key))
-        few = scores
-        if i == 0:
-            few = vector.scores(embeddings.join(missing.select("chunk_id").distinct(), "chunk_id", "left_semi"), asked)
-        own = _ranks(scores, written(few.join(missing, key, "left_semi")), head)
+        own = scan.places(written(scan.only(missing).every().join(missing, key, "left_semi")))
         sides.append(head.join(left.select(*key), key, "left_semi").select(*key, "rank", "score").unionByName(own.select(*key, "rank", "score")))
     return fuse(*sides, k, rrf_k, checked=True)
 
 
 def with_chunks(ranking: DataFrame, chunks: DataFrame) -> DataFrame:
-    """ranking with the chunks' columns. Rankings cut to k are small, but their number of queries is not bounded, so Spark chooses the join."""
-    return ranking.join(chunks, "chunk_id")
+    """ranking with the chunks' columns. Rankings cut to k are small, but their number of queries is not bounded, so they are written and Spark chooses the join by their size."""
+    return written(ranking).join(chunks, "chunk_id")
