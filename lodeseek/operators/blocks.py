@@ -1,24 +1,27 @@
-"""First k chunks by BM25 over postings in blocks, most of which a search never reads.
-
-Documents of like length are dealt into slices of about SLICE documents. A term's postings in a slice are one block, stored
-with its greatest term frequency and least document length. With a query's weights these bound the score of every
-document in a slice from above, for any k1 and b, and they are columns of their own, so that Spark reads them
-without the postings. The slices of greatest bound are scored first; the k-th score found there rules out every
-slice whose bound is below it.
+"""First k chunks by BM25 over documents in slices, most of which a short query never scores.
+
+A task deals the documents it reads, by like length, into slices of about SLICE documents, so nothing is shuffled for them. A
+slice is one row: its documents, and a block for each of its terms, the head of which is the number of postings, the greatest
+term frequency and the least document length. With a query's weights these bound the score of every document in the slice
+from above, for any k1 and b, and they are columns of their own, so that Spark reads them without the documents. The slices
+of greatest bound are scored first; the k-th score found there rules out every slice whose bound is below it. What is left is
+scanned where it is read (see scan.py), which passes on each query's first k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.ranking import ranked
-from lodeseek.operators import lexical
+from lodeseek.operators import lexical, scan
 from lodeseek.operators.lexical import B, K1, LexicalIndex
 from lodeseek.sources.tables import written
 
@@ -28,42 +31,75 @@ FIRST = 4
 #: Room for sums of doubles that come in another order.
 ROOM = 1e-9
 HEADER = ["term", "slice", "n", "max_tf", "min_dl"]
-
-
-def _length_class(dl: str) -> Column:
-    """Four classes for each doubling of the length: below 128 classes in all."""
-    return F.floor(4 * F.log2(F.col(dl) + 1)).cast("long")
-
-
-def _of_slice(documents: pa.Table) -> pa.Table:
-    """The blocks of a slice, in order of their terms."""
-    documents = documents.combine_chunks()
-    own = documents.column("own").combine_chunks()
-    doc = pa.array(np.repeat(np.arange(documents.num_rows), pc.list_value_length(own).to_numpy(zero_copy_only=False)))
-    met = pc.list_flatten(own)
-    rows = pa.table({"term": met.field("term"), "chunk_id": documents.column("chunk_id").take(doc), "tf": met.field("tf"), "dl": documents.column("dl").take(doc)})
-    rows = rows.take(pc.sort_indices(rows, [("term", "ascending"), ("chunk_id", "ascending")])).combine_chunks()
-    term, tf, dl = (rows.column(c).combine_chunks() for c in ("term", "tf", "dl"))
-    code = term.dictionary_encode().indices.to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, int)
-    n = np.diff(np.append(starts, len(code)))
-    most, least = (f.reduceat(x.to_numpy(), starts) if len(code) else np.zeros(0) for f, x in ((np.maximum, tf), (np.minimum, dl)))
-    parts = pa.StructArray.from_arrays([rows.column("chunk_id").combine_chunks(), tf, dl], ["chunk_id", "tf", "dl"])
-    return pa.table({
-        "term": term.take(pa.array(starts)), "slice": pa.array(np.full(len(starts), documents.column("slice")[0].as_py(), np.int64)), "n": pa.array(n, pa.int64()), "max_tf": pa.array(most, pa.int32()), "min_dl": pa.array(least, pa.int32()),
-        "postings": pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), parts),
-    })
+_DOCUMENT = ["chunk_id", "dl", "terms", "tf"]
+#: Slices whose heads are made at once.
+_AT_ONCE = 8
+
+
+def _heads(documents: pa.Table, starts: np.ndarray) -> dict[str, pa.Array]:
+    """terms, n, max_tf and min_dl of slices that begin at `starts` of documents(dl, terms, tf), each in order of its terms."""
+    term = pc.list_flatten(pc.split_pattern(documents.column("terms").combine_chunks(), " ")).dictionary_encode()
+    names, tf = term.dictionary, documents.column("tf").combine_chunks()
+    order = pc.array_sort_indices(names).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    doc = np.repeat(np.arange(documents.num_rows), pc.list_value_length(tf).to_numpy(zero_copy_only=False))
+    own = np.searchsorted(starts, doc, "right") - 1
+    cell, width = own * max(1, len(order)) + place[term.indices.to_numpy()], max(1, len(order))
+    by = np.argsort(cell, kind="stable")
+    cell = cell[by]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    of, token = np.divmod(cell[first], width)
+    at = np.searchsorted(of, np.arange(len(starts) + 1)).astype(np.int32)
+    over = lambda f, x: f.reduceat(x[by], first) if len(cell) else np.zeros(0)
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32)))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), names.take(pa.array(order[token]))), " ")
+    return {
+        "terms": pc.if_else(pa.array(np.diff(at) > 0), joined, pa.scalar(None, pa.string())),
+        "n": listed(np.diff(np.append(first, len(cell)))),
+        "max_tf": listed(over(np.maximum, pc.list_flatten(tf).to_numpy(zero_copy_only=False))),
+        "min_dl": listed(over(np.minimum, documents.column("dl").to_numpy()[doc])),
+    }
+
+
+def _dealt(size: int):
+    """The documents of a task in slices: those of like length, and at last what is left of each length in order of length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, left = TaskContext.get().partitionId() << 32, None
+
+        def slices(documents: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            for at in range(0, documents.num_rows, size * _AT_ONCE):
+                own = documents.slice(at, size * _AT_ONCE).combine_chunks()
+                starts = np.arange(0, own.num_rows, size)
+                parts = pa.StructArray.from_arrays([own.column(c).combine_chunks() for c in _DOCUMENT], _DOCUMENT)
+                postings = pa.ListArray.from_arrays(pa.array(np.append(starts, own.num_rows).astype(np.int32)), parts)
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(made + np.arange(len(starts))), **_heads(own, starts), "postings": postings})
+                made += len(starts)
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if left is None else pa.concat_tables([left, rows])
+            length = np.floor(4 * np.log2(rows.column("dl").to_numpy() + 1)).astype(int)
+            order = np.argsort(length, kind="stable")
+            length = length[order]
+            # Of the rows of one length, as many as fill slices.
+            start = np.searchsorted(length, length)
+            full = np.arange(len(length)) - start < (np.searchsorted(length, length, "right") - start) // size * size
+            yield from slices(rows.take(pa.array(order[full])))
+            left = rows.take(pa.array(order[~full]))
+        if left is not None:
+            yield from slices(left)
+
+    return run
 
 
 def build(spark: SparkSession, path: str, size: int = SLICE) -> BlockIndex:
-    """Blocks of the stored lexical index at path, beside it. Documents meet by their slice, about `size` in a task at once, so a term of any frequency is cut by slices and postings are shuffled once, inside their documents."""
-    documents = lexical.load(spark, path).documents.select("chunk_id", "dl", "own").withColumn("class", _length_class("dl"))
-    classes = documents.groupBy("class").agg(F.ceil(F.count("*") / size).alias("n_slices"))
-    slice_ = F.shiftleft(F.col("class"), 40) + F.pmod(F.xxhash64("chunk_id"), "n_slices")
-    sliced = documents.join(F.broadcast(classes), "class").select("chunk_id", "dl", "own", slice_.alias("slice"))  # a row for each class
-    kind = dict(documents.dtypes)["chunk_id"]
-    schema = f"term string, slice long, n long, max_tf int, min_dl int, postings array<struct<chunk_id: {kind}, tf: int, dl: int>>"
-    sliced.groupBy("slice").applyInArrow(_of_slice, schema).write.mode("overwrite").parquet(f"{path}/blocks")
+    """Slices of the stored lexical index at path, beside it. They are made where the documents are read, about `size` to a slice, so a term of any frequency is cut by slices and nothing is shuffled."""
+    documents = lexical.load(spark, path).documents.select(*_DOCUMENT)
+    schema = f"slice long, terms string, n array<int>, max_tf array<int>, min_dl array<int>, postings array<struct<chunk_id: {dict(documents.dtypes)['chunk_id']}, dl: int, terms: string, tf: array<int>>>"
+    documents.mapInArrow(_dealt(size), schema).write.mode("overwrite").parquet(f"{path}/blocks")
     return load(spark, path)
 
 
@@ -72,12 +108,52 @@ def load(spark: SparkSession, path: str) -> BlockIndex:
 
 
 def differences(index: BlockIndex) -> DataFrame:
-    """One row: n_terms, n_postings and n_blocks, and how many blocks have a header that their postings do not give."""
-    tf, dl = F.col("postings.tf"), F.col("postings.dl")
-    other = (F.size("postings") != F.col("n")) | (F.array_max(tf) != F.col("max_tf")) | (F.array_min(dl) != F.col("min_dl"))
-    by_term = index.blocks.withColumn("other", other.cast("int")).groupBy("term").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"), F.sum("other").alias("other"))
+    """One row: n_terms, n_postings and n_blocks, and how many blocks have a head that their documents do not give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+
+        def others(rows: pa.Table) -> pa.RecordBatch:
+            starts = np.flatnonzero(rows.column("at").to_numpy() == 0)
+            heads, stored = _heads(rows, starts), rows.take(pa.array(starts)).combine_chunks()
+            stored = {c: stored.column(f"own_{c}").combine_chunks() for c in heads}
+            count = 0
+            for i in () if all(heads[c].equals(stored[c]) for c in heads) else range(len(starts)):
+                a, b = ({t: x for t, *x in zip((h["terms"][i].as_py() or "").split(), *(h[c][i].as_py() or () for c in HEADER[2:]))} for h in (heads, stored))
+                count += sum(a.get(t) != b.get(t) for t in a.keys() | b.keys())
+            return pa.RecordBatch.from_pydict({"other": pa.array([count], pa.int64())})
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if left is None else pa.concat_tables([left, rows])
+            last = max(np.flatnonzero(rows.column("at").to_numpy() == 0), default=0)  # the last slice may go on
+            if last:
+                yield others(rows.slice(0, last).combine_chunks())
+            left = rows.slice(last)
+        if left is not None and left.num_rows:
+            yield others(left.combine_chunks())
+
+    first = [F.when(F.col("at") == 0, F.col(c)).alias(f"own_{c}") for c in ("terms", *HEADER[2:])]
+    documents = index.slices.select("terms", *HEADER[2:], F.posexplode("postings").alias("at", "x")).select("at", *first, "x.dl", "x.terms", "x.tf")
+    found = documents.mapInArrow(run, "other long").agg(F.coalesce(F.sum("other"), F.lit(0)).alias("n_other_headers"))
+    by_term = index.heads.groupBy("term").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"))
     count = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return by_term.agg(F.count("*").alias("n_terms"), count("n").alias("n_postings"), count("blocks").alias("n_blocks"), count("other").alias("n_other_headers"))
+    counts = by_term.agg(F.count("*").alias("n_terms"), count("n").alias("n_postings"), count("blocks").alias("n_blocks"))
+    return counts.crossJoin(F.broadcast(found))  # one row each
+
+
+class _Open(lexical.Weights):
+    """Scores of documents(dl, terms, tf, open) for the queries that their slice is open to."""
+
+    reads = (*lexical.Weights.reads, "open")
+
+    def scores(self, rows: pa.RecordBatch) -> np.ndarray:
+        found = super().scores(rows)
+        column = pc.index_in(pc.list_flatten(rows.column("open")), value_set=self.queries).fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("open")).to_numpy(zero_copy_only=False))
+        is_open = np.zeros(found.shape, bool)
+        is_open[row[column >= 0], column[column >= 0]] = True
+        return np.where(is_open, found, -np.inf)
 
 
 #: Wanted terms that go to every task, about 100 MB in memory; more are joined as Spark chooses.
@@ -92,27 +168,37 @@ def _met_where_read(wanted: DataFrame) -> DataFrame:
 
 @dataclass
 class BlockIndex:
-    """blocks(term, slice, n, max_tf, min_dl, postings) of a lexical index."""
+    """slices(slice, terms, n, max_tf, min_dl: the heads of the slice's blocks, postings: its documents) of a lexical index."""
 
-    blocks: DataFrame
+    slices: DataFrame
     index: LexicalIndex
 
-    def _part(self, tf: Column, dl: Column, k1: float, b: float) -> Column:
-        return F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avg_length")))
+    @property
+    def blocks(self) -> DataFrame:
+        return self.slices
+
+    @property
+    def heads(self) -> DataFrame:
+        """(term, slice, n, max_tf, min_dl): one row for each block."""
+        return self.slices.selectExpr("slice", "inline(arrays_zip(split(terms, ' '), n, max_tf, min_dl)) AS (term, n, max_tf, min_dl)").select(*HEADER)
 
     def bounds(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-        """(query_id, slice, bound, n_blocks, n_postings): no document of the slice has a higher score. Reads headers alone."""
+        """(query_id, slice, bound, n_blocks, n_postings): no document of the slice has a higher score. Reads heads alone."""
         wanted = _met_where_read(lexical.query_terms(queries).join(self.index.terms, "term"))
-        met = self.blocks.select(*HEADER).join(wanted, "term").crossJoin(F.broadcast(self.index.stats.select("avg_length")))  # one row
-        bound = F.sum(self._part(F.col("max_tf"), F.col("min_dl"), k1, b)) * (1 + ROOM) + ROOM
-        return met.groupBy("query_id", "slice").agg(bound.alias("bound"), F.count("*").alias("n_blocks"), F.sum("n").alias("n_postings"))
+        met = self.heads.join(wanted, "term").crossJoin(F.broadcast(self.index.stats.select("avg_length")))  # one row
+        tf, dl = F.col("max_tf"), F.col("min_dl")
+        part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avg_length")))
+        return met.groupBy("query_id", "slice").agg((F.sum(part) * (1 + ROOM) + ROOM).alias("bound"), F.count("*").alias("n_blocks"), F.sum("n").alias("n_postings"))
+
+    def scanned(self, queries: DataFrame, slices: DataFrame, k1: float = K1, b: float = B) -> scan.Scan:
+        """The scan of the documents in slices(query_id, slice), each for the queries that name its slice."""
+        own = written(slices.groupBy("slice").agg(F.collect_set("query_id").alias("open")))
+        rows = self.slices.select("slice", "postings").join(own, "slice").select("open", F.inline("postings"))
+        return scan.Scan(rows, self.index.weights(queries, k1, b, _Open), dict(queries.dtypes)["query_id"])
 
     def scores(self, queries: DataFrame, slices: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, chunk_id, score) of all chunks in slices(query_id, slice) that hold a term of the query."""
-        wanted = _met_where_read(slices.select("query_id", "slice").join(lexical.query_terms(queries), "query_id").join(self.index.terms, "term"))
-        met = self.blocks.select("term", "slice", "postings").join(wanted, ["term", "slice"]).select("query_id", "qtf", "idf", F.explode("postings").alias("x"))
-        met = met.crossJoin(F.broadcast(self.index.stats.select("avg_length")))  # one row
-        return lexical.added(met.select("query_id", F.col("x.chunk_id").alias("chunk_id"), self._part(F.col("x.tf"), F.col("x.dl"), k1, b).alias("part")))
+        return self.scanned(queries, slices, k1, b).every()
 
     def search(self, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, watch: Observation | None = None) -> DataFrame:
         """(query_id, rank, chunk_id, score): what the lexical index's own search gives, rank by rank.
@@ -126,7 +212,7 @@ class BlockIndex:
             raise ValueError("k must be positive")
         bounds = written(self.bounds(queries, k1, b))
         first = written(ranked(bounds, "bound", "slice", k=FIRST + -(-2 * k // SLICE)).select("query_id", "slice", F.lit(True).alias("is_first")))
-        known = written(self.scores(queries, first, k1, b))
+        known = written(self.scanned(queries, first, k1, b).heads(k))
         least = ranked(known, "score", "chunk_id", k=k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
         judged = bounds.join(first, ["query_id", "slice"], "left").join(least, "query_id", "left")
         judged = judged.withColumn("is_open", F.coalesce((F.col("found") < k) | (F.col("bound") >= F.col("least")), F.lit(True)))
@@ -134,5 +220,5 @@ class BlockIndex:
             scored = F.coalesce("is_first", "is_open")
             counts = [(c, F.col(f"n_{c}")) for c in ("blocks", "postings")] + [("slices", F.lit(1))]
             judged = written(judged.observe(watch, *(F.sum(x).alias(f"n_{c}") for c, x in counts), *(F.sum(F.when(scored, x).otherwise(0)).alias(f"scored_{c}") for c, x in counts)))
-        rest = self.scores(queries, judged.where("is_first IS NULL AND is_open"), k1, b)
+        rest = self.scanned(queries, judged.where("is_first IS NULL AND is_open"), k1, b).heads(k)
         return ranked(known.unionByName(rest), "score", "chunk_id", k=k).select("query_id", "rank", "chunk_id", "score")

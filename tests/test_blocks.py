@@ -70,3 +70,23 @@ def test_empty_corpus(spark, tmp_path):
     path = str(tmp_path / "none")
     lexical.build(spark.createDataFrame([], "chunk_id long, text string"), path)
     assert blocks.build(spark, path).search(spark.createDataFrame(ASKED, "query_id long, query_text string"), 5).count() == 0
+
+
+def test_slices_are_made_and_met_without_a_shuffle(spark, built):
+    """Every document is in one slice, of like length, and open slices are scanned where they are read."""
+    index, path = built
+    own = index.blocks.selectExpr("slice", "size(postings) AS n", "array_max(postings.dl) AS most", "array_min(postings.dl) AS least", "inline(postings)")
+    assert own.count() == own.select("chunk_id").distinct().count() == lexical.load(spark, path).documents.count()
+    assert own.where(f"n > {blocks.SLICE}").count() == 0 and own.where("most <= 2 * least + 1").count() > own.count() / 2
+    queries = spark.createDataFrame(ASKED, "query_id long, query_text string")
+    heads = index.scanned(queries, index.bounds(queries)).heads(5)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and heads.count() <= 5 * len(ASKED) * 64
+
+
+def test_other_heads_are_counted(spark, built, tmp_path):
+    index, path = built
+    changed = index.blocks.selectExpr("slice", "terms", "n", "transform(max_tf, (x, i) -> IF(i = 0, x + 1, x)) AS max_tf", "min_dl", "postings")
+    changed.write.parquet(str(tmp_path / "blocks"))
+    other = blocks.BlockIndex(spark.read.parquet(str(tmp_path / "blocks")), lexical.load(spark, path))
+    assert blocks.differences(other).first().n_other_headers == index.blocks.where("terms IS NOT NULL").count()

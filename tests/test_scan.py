@@ -93,3 +93,29 @@ def test_blocks_are_not_shuffled_to_meet_terms(spark, index, tmp_path):
     assert blocks.differences(own).first().n_other_headers == 0
     plan = own.bounds(asked(spark))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_runs_are_taken_apart_as_identifiers(spark):
+    """Runs without an identifier, at the edges of slices and of texts, and many texts at once."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["-", "_ -- a", "-a-", "a_-b", "x--y_z1", "é-é", " ", "A1-b2_C", *ODD] * 70)], "chunk_id long, text string").coalesce(1)
+    found = lexical.counted(rows).selectExpr("chunk_id", "dl", "coalesce(array_join(array_sort(split(terms, ' ')), ' '), '') AS t", "size(tf) AS n").collect()
+    t = T.tokens(F.col("text"))
+    own = rows.select("chunk_id", F.size(t).alias("dl"), F.array_join(F.array_sort(F.array_distinct(t)), " ").alias("t"), F.size(F.array_distinct(t)).alias("n")).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, own))
+
+
+def test_frequencies_are_counted_without_postings(spark, index):
+    own = lexical.frequencies(index.documents)
+    assert sorted(map(tuple, own.collect())) == sorted((r.term, r["count"]) for r in index.postings.groupBy("term").count().collect())
+    assert "Generate" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_with_their_own_settings_share_a_scan(spark, index):
+    grid = [(0.5, 0.0), (1.2, 0.5), (2.0, 1.0)]
+    both = spark.createDataFrame([(10 * i + q, t, k1, b) for i, (k1, b) in enumerate(grid) for q, t in enumerate(("common word3", "rare number4 number4"))], f"{ASKED}, k1 double, b double")
+    found = sorted(map(tuple, index.search(both, 7).collect()))
+    each = [(10 * i + r.query_id, r["rank"], r.chunk_id, r.score) for i, (k1, b) in enumerate(grid) for r in index.search(asked(spark).where("query_id < 2"), 7, k1, b).collect()]
+    assert found == sorted(each)
+    assert index.scanned(both).heads(7)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    with pytest.raises(ValueError):
+        index.search(both.withColumn("b", F.lit(2.0)), 7)
