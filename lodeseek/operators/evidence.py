@@ -82,19 +82,22 @@ def sources(found: DataFrame) -> DataFrame:
     return found.select("query_id", *(F.col(c).alias(names.get(c, c)) for c in columns))
 
 
-def validated(answers: DataFrame, found: DataFrame) -> DataFrame:
-    """answers(query_id, answer) with cited, unknown and valid: valid answers cite something and nothing that is not there."""
-    own = found.groupBy("query_id").agg(F.collect_set("source_id").alias("available"))
+def validated(answers: DataFrame, found: DataFrame, by: str = "query_id") -> DataFrame:
+    """answers(query_id, answer) with cited, unknown and valid: valid answers cite something and nothing that is not there.
+
+    With `by`, a column of both, answers share the evidence that has its value; it is not copied for each of them.
+    """
+    own = found.groupBy(by).agg(F.collect_set("source_id").alias("available"))
     none = F.array().cast("array<string>")
-    rows = answers.join(own, "query_id", "left").withColumn("cited", F.coalesce(cited(F.col("answer")), none))
+    rows = answers.join(own, by, "left").withColumn("cited", F.coalesce(cited(F.col("answer")), none))
     rows = rows.withColumn("unknown", F.array_except("cited", F.coalesce("available", none))).drop("available")
     return rows.withColumn("valid", (F.size("cited") > 0) & (F.size("unknown") == 0))
 
 
-def cited_evidence(answers: DataFrame, found: DataFrame) -> DataFrame:
-    """The evidence that validated answers cite, with its place (from 1) among the citations."""
-    own = answers.select("query_id", F.posexplode("cited").alias("at", "source_id"))
-    return own.join(found, ["query_id", "source_id"]).withColumn("place", F.col("at") + 1).drop("at")
+def cited_evidence(answers: DataFrame, found: DataFrame, by: str = "query_id") -> DataFrame:
+    """The evidence that validated answers cite, with its place (from 1) among the citations; `by` as in validated()."""
+    own = answers.select(*dict.fromkeys(["query_id", by]), F.posexplode("cited").alias("at", "source_id"))
+    return own.join(found, [by, "source_id"]).withColumn("place", F.col("at") + 1).drop("at")
 
 
 def markdown(answers: DataFrame, found: DataFrame) -> DataFrame:
