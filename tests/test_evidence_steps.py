@@ -44,3 +44,7 @@ def test_answers_share_evidence(spark):
     rows = evidence.validated(answers, found, "topic")
     assert {r.query_id: (r.unknown, r.valid) for r in rows.collect()} == {"x": ([], True), "y": (["S3"], False), "z": ([], True), "w": (["S1"], False)}
     assert sorted((r.query_id, r.place, r.chunk_id) for r in evidence.cited_evidence(rows, found, "topic").collect()) == [("x", 1, "b"), ("x", 2, "a"), ("z", 1, "c")]
+
+
+def test_answers_are_not_shuffled(spark):
+    assert "hashpartitioning(query_id" not in plan(core.citation_validate(spark, "/root/testdata/sf0.001"))
