@@ -50,6 +50,10 @@ def test_answers_are_not_shuffled(spark):
     assert "hashpartitioning(query_id" not in plan(core.citation_validate(spark, "/root/testdata/sf0.001"))
 
 
-@pytest.mark.parametrize("name", ["scope_filter_docs", "scope_filter_all"])
+@pytest.mark.parametrize("name", ["scope_filter_docs", "scope_filter_all", "evidence_ids"])
 def test_no_text_is_read_for_ranks_and_paths(spark, name):
     assert "text:string" not in plan(core.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_contents_are_not_carried_to_the_evidence(spark):
+    assert {"content", "end_line"}.isdisjoint(core.found(spark, "/root/testdata/sf0.001").columns)
