@@ -32,8 +32,20 @@ FIRST = 4
 ROOM = 1e-9
 HEADER = ["term", "slice", "n", "max_tf", "min_dl"]
 _DOCUMENT = ["chunk_id", "dl", "terms", "tf"]
-#: Slices whose heads are made at once.
-_AT_ONCE = 8
+#: Postings whose heads are made at once, or those of one slice.
+_AT_ONCE = 1 << 18
+#: Slices are long rows, and Spark decodes a whole row group of them at once. So row groups are small, and their bytes are counted every few rows.
+_ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
+
+
+def _portions(lengths: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices from one number to before another, with at most _AT_ONCE postings or a slice alone; `lengths` are the postings of each document, `starts` where slices begin."""
+    before = np.append(0, lengths.cumsum())[np.append(starts, len(lengths))]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(before, before[i] + _AT_ONCE, "right")) - 1)
+        yield i, j
+        i = j
 
 
 def _heads(documents: pa.Table, starts: np.ndarray) -> dict[str, pa.Array]:
@@ -68,29 +80,32 @@ def _dealt(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, left = TaskContext.get().partitionId() << 32, None
 
-        def slices(documents: pa.Table) -> Iterator[pa.RecordBatch]:
+        def slices(documents: pa.Table, order: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            for at in range(0, documents.num_rows, size * _AT_ONCE):
-                own = documents.slice(at, size * _AT_ONCE).combine_chunks()
-                starts = np.arange(0, own.num_rows, size)
+            starts = np.arange(0, len(order), size)
+            for i, j in _portions(pc.list_value_length(documents.column("tf")).to_numpy()[order], starts):
+                own = documents.take(pa.array(order[i * size : j * size]))
                 parts = pa.StructArray.from_arrays([own.column(c).combine_chunks() for c in _DOCUMENT], _DOCUMENT)
-                postings = pa.ListArray.from_arrays(pa.array(np.append(starts, own.num_rows).astype(np.int32)), parts)
-                yield pa.RecordBatch.from_pydict({"slice": pa.array(made + np.arange(len(starts))), **_heads(own, starts), "postings": postings})
-                made += len(starts)
+                postings = pa.ListArray.from_arrays(pa.array(np.append(starts[: j - i], own.num_rows).astype(np.int32)), parts)
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(made + np.arange(j - i)), **_heads(own, starts[: j - i]), "postings": postings})
+                made += j - i
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if left is None else pa.concat_tables([left, rows])
+        def full_ones(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            """The slices that documents of like length fill; returns what is left."""
             length = np.floor(4 * np.log2(rows.column("dl").to_numpy() + 1)).astype(int)
             order = np.argsort(length, kind="stable")
             length = length[order]
             # Of the rows of one length, as many as fill slices.
             start = np.searchsorted(length, length)
             full = np.arange(len(length)) - start < (np.searchsorted(length, length, "right") - start) // size * size
-            yield from slices(rows.take(pa.array(order[full])))
-            left = rows.take(pa.array(order[~full]))
+            yield from slices(rows, order[full])
+            return rows.take(pa.array(order[~full]))
+
+        for batch in batches:
+            rows = [pa.Table.from_batches([batch])]
+            left = yield from full_ones(pa.concat_tables(rows if left is None else [left, *rows]).combine_chunks())
         if left is not None:
-            yield from slices(left)
+            yield from slices(left, np.arange(left.num_rows))
 
     return run
 
@@ -99,7 +114,7 @@ def build(spark: SparkSession, path: str, size: int = SLICE) -> BlockIndex:
     """Slices of the stored lexical index at path, beside it. They are made where the documents are read, about `size` to a slice, so a term of any frequency is cut by slices and nothing is shuffled."""
     documents = lexical.load(spark, path).documents.select(*_DOCUMENT)
     schema = f"slice long, terms string, n array<int>, max_tf array<int>, min_dl array<int>, postings array<struct<chunk_id: {dict(documents.dtypes)['chunk_id']}, dl: int, terms: string, tf: array<int>>>"
-    documents.mapInArrow(_dealt(size), schema).write.mode("overwrite").parquet(f"{path}/blocks")
+    documents.mapInArrow(_dealt(size), schema).write.mode("overwrite").options(**_ROW_GROUPS).parquet(f"{path}/blocks")
     return load(spark, path)
 
 
@@ -110,28 +125,32 @@ def load(spark: SparkSession, path: str) -> BlockIndex:
 def differences(index: BlockIndex) -> DataFrame:
     """One row: n_terms, n_postings and n_blocks, and how many blocks have a head that their documents do not give."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-
-        def others(rows: pa.Table) -> pa.RecordBatch:
-            starts = np.flatnonzero(rows.column("at").to_numpy() == 0)
-            heads, stored = _heads(rows, starts), rows.take(pa.array(starts)).combine_chunks()
+    def others(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """How many heads of the slices differ that begin at `starts`."""
+        ends = np.append(starts, rows.num_rows)
+        for i, j in _portions(pc.list_value_length(rows.column("tf")).to_numpy(), starts):
+            part, count = rows.slice(starts[i], ends[j] - starts[i]).combine_chunks(), 0
+            heads, stored = _heads(part, starts[i:j] - starts[i]), part.take(pa.array(starts[i:j] - starts[i])).combine_chunks()
             stored = {c: stored.column(f"own_{c}").combine_chunks() for c in heads}
-            count = 0
-            for i in () if all(heads[c].equals(stored[c]) for c in heads) else range(len(starts)):
-                a, b = ({t: x for t, *x in zip((h["terms"][i].as_py() or "").split(), *(h[c][i].as_py() or () for c in HEADER[2:]))} for h in (heads, stored))
+            for k in () if all(heads[c].equals(stored[c]) for c in heads) else range(j - i):
+                a, b = ({t: x for t, *x in zip((h["terms"][k].as_py() or "").split(), *(h[c][k].as_py() or () for c in HEADER[2:]))} for h in (heads, stored))
                 count += sum(a.get(t) != b.get(t) for t in a.keys() | b.keys())
-            return pa.RecordBatch.from_pydict({"other": pa.array([count], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"other": pa.array([count], pa.int64())})
+
+    def whole_ones(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """others() of all slices but the last, which may go on; returns a copy of that one, so that the batch is not held."""
+        starts = np.flatnonzero(rows.column("at").to_numpy() == 0)
+        last = max(starts, default=0)
+        yield from others(rows.slice(0, last), starts[:-1])
+        return rows.take(pa.array(np.arange(last, rows.num_rows)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if left is None else pa.concat_tables([left, rows])
-            last = max(np.flatnonzero(rows.column("at").to_numpy() == 0), default=0)  # the last slice may go on
-            if last:
-                yield others(rows.slice(0, last).combine_chunks())
-            left = rows.slice(last)
+            rows = [pa.Table.from_batches([batch])]
+            left = yield from whole_ones(pa.concat_tables(rows if left is None else [left, *rows]))
         if left is not None and left.num_rows:
-            yield others(left.combine_chunks())
+            yield from others(left, np.zeros(1, int))
 
     first = [F.when(F.col("at") == 0, F.col(c)).alias(f"own_{c}") for c in ("terms", *HEADER[2:])]
     documents = index.slices.select("terms", *HEADER[2:], F.posexplode("postings").alias("at", "x")).select("at", *first, "x.dl", "x.terms", "x.tf")
