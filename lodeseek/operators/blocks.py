@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions.ranking import ranked
 from lodeseek.operators import lexical, scan
 from lodeseek.operators.lexical import B, K1, LexicalIndex
-from lodeseek.sources.tables import written
+from lodeseek.sources.tables import batches_of, written
 
 SLICE = 64
 #: Slices that are scored first, besides those that 2 * k documents fill.
@@ -34,6 +34,8 @@ HEADER = ["term", "slice", "n", "max_tf", "min_dl"]
 _DOCUMENT = ["chunk_id", "dl", "terms", "tf"]
 #: Postings whose heads are made at once, or those of one slice.
 _AT_ONCE = 1 << 18
+#: Documents that pass to Python at once.
+_BATCH = 2048
 #: Slices are long rows, and Spark decodes a whole row group of them at once. So row groups are small, and their bytes are counted every few rows.
 _ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
 
@@ -114,7 +116,8 @@ def build(spark: SparkSession, path: str, size: int = SLICE) -> BlockIndex:
     """Slices of the stored lexical index at path, beside it. They are made where the documents are read, about `size` to a slice, so a term of any frequency is cut by slices and nothing is shuffled."""
     documents = lexical.load(spark, path).documents.select(*_DOCUMENT)
     schema = f"slice long, terms string, n array<int>, max_tf array<int>, min_dl array<int>, postings array<struct<chunk_id: {dict(documents.dtypes)['chunk_id']}, dl: int, terms: string, tf: array<int>>>"
-    documents.mapInArrow(_dealt(size), schema).write.mode("overwrite").options(**_ROW_GROUPS).parquet(f"{path}/blocks")
+    with batches_of(spark, _BATCH):
+        documents.mapInArrow(_dealt(size), schema).write.mode("overwrite").options(**_ROW_GROUPS).parquet(f"{path}/blocks")
     return load(spark, path)
 
 
@@ -154,7 +157,8 @@ def differences(index: BlockIndex) -> DataFrame:
 
     first = [F.when(F.col("at") == 0, F.col(c)).alias(f"own_{c}") for c in ("terms", *HEADER[2:])]
     documents = index.slices.select("terms", *HEADER[2:], F.posexplode("postings").alias("at", "x")).select("at", *first, "x.dl", "x.terms", "x.tf")
-    found = documents.mapInArrow(run, "other long").agg(F.coalesce(F.sum("other"), F.lit(0)).alias("n_other_headers"))
+    with batches_of(documents.sparkSession, _BATCH):
+        found = written(documents.mapInArrow(run, "other long").agg(F.coalesce(F.sum("other"), F.lit(0)).alias("n_other_headers")))
     by_term = index.heads.groupBy("term").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"))
     count = lambda c: F.coalesce(F.sum(c), F.lit(0))
     counts = by_term.agg(F.count("*").alias("n_terms"), count("n").alias("n_postings"), count("blocks").alias("n_blocks"))

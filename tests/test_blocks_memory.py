@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.operators import blocks, lexical
+from lodeseek.sources import tables
 
 DOCUMENTS, WORDS = 900, 1000
 
@@ -46,3 +47,12 @@ def test_portions():
     lengths, starts = np.array([1, n, 0, n // 2, n // 2, 1, 0, 0, 2 * n, 5]), np.array([0, 2, 4, 6, 7, 8, 9])
     assert [*blocks._portions(lengths, starts)] == [(0, 1), (1, 2), (2, 5), (5, 6), (6, 7)]
     assert [*blocks._portions(lengths[:0], starts[:0])] == []
+
+
+def test_batches_are_short_inside_alone(spark):
+    sizes = lambda: [r.n for r in spark.range(0, 50, 1, 1).mapInArrow(lambda x: (b.from_pydict({"n": [b.num_rows]}) for b in x), "n long").collect()]
+    with tables.batches_of(spark, 20):
+        assert sizes() == [20, 20, 10]
+        with tables.batches_of(spark, 30):
+            assert sizes() == [20, 20, 10]
+    assert sizes() == [50]
